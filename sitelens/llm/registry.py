@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import forest, jaccard, lines, packing, pivot_index, quality, secrets
+from . import bpe, forest, jaccard, lines, packing, pivot_index, quality, secrets, substrings
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         jaccard.op3_ngram_jaccard_join,
         secrets.op4_secret_scans,
         quality.op6_quality_classifier,
+        bpe.op7_bpe,
+        substrings.op8_suffix_array_dedup,
         lines.op9_line_dedup,
         forest.op10_approximate_nearest_neighbours,
     ]
