@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, forest, jaccard, lines, packing, pivot_index, quality, secrets, substrings
+from . import bpe, forest, jaccard, lines, packing, pivot_index, quality, secrets, substrings, wrappers
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         pivot_index.op2_embedding_near_dedup,
         jaccard.op3_ngram_jaccard_join,
         secrets.op4_secret_scans,
+        wrappers.op5_html_extraction,
         quality.op6_quality_classifier,
         bpe.op7_bpe,
         substrings.op8_suffix_array_dedup,
