@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import tags
 from sitelens.operators import completeness, spatial
+from sitelens.plans import assignment
 from sitelens.sources.tables import FEATURES_SQL, SITES_SQL, features, sites, table
 
 _GOLF = ", ".join(f"'{k}': '{v}'" for k, v in tags.GOLF_LAYERS.items())
@@ -137,3 +138,6 @@ ORACLES = {
     "texture_percentile": "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.55), 6) AS p55 FROM lineitem GROUP BY 1",
     "cache_latest": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
 }
+
+QUERIES |= assignment.QUERIES
+ORACLES |= assignment.oracles(_ASSIGN_SQL, _LAYER_SQL)
