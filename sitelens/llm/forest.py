@@ -2,13 +2,11 @@
 
 The trees are fitted on a bounded sample (``fit_rows``, about; a share of id hashes); every row is indexed in every tree. A query
 keeps one queue over all trees, ordered by the summed squared margins that a branch lies beyond, and takes leaves until they
-should hold ``share`` of the rows or ``budget`` rows, whichever is less (both counted with repeats across trees); rows of those
-leaves are ranked exactly in double precision. A tree has LEAVES leaves until they would pass LEAF_ROWS rows, then more, so the
-leaves asked by a query stay about as many and the rows compared with it are bounded at every size. Leaves with more than BLOCK
-rows are split into blocks, leaves with more than BLOCK queries serve them in several groups, so a task's group is bounded.
-
-Measured recall at 20 on unclustered 64-dimensional vectors, the hard case: 0.965 of 10,256 rows, 0.973 of 51,282. ``budget`` takes
-over above about 218,000 rows; what it costs there depends on how clustered the vectors are and is not measured.
+hold ``share`` of the rows; a row that several trees hold counts once (read off the sample). Where
+that is every row, one tree's leaves are all taken. Rows of the leaves are ranked exactly in double precision. The share is the same
+at every size, so comparisons grow with rows times queries. A tree has LEAVES leaves until they would pass LEAF_ROWS rows, then
+more. Leaves with more than BLOCK rows are split into blocks, leaves with more than BLOCK queries serve them in several groups, so a
+task's group is bounded.
 
 Defined results: rows with null, zero or non-finite vectors, null ids or an odd length take no part; ties go to the smaller id;
 fewer candidates give fewer rows; an empty table gives an empty result; other columns are ignored. Rows that repeat an id are
@@ -29,18 +27,18 @@ from pyspark.sql import functions as F
 from .common import table
 from .vectors import groups, matrix, usable
 
-TREES, FIT_ROWS, LEAVES, LEAF_ROWS, SHARE, BUDGET, BLOCK = 6, 20_000, 64, 4096, 1.2, 1 << 18, 4096
+TREES, FIT_ROWS, LEAVES, LEAF_ROWS, SHARE, BLOCK = 6, 20_000, 64, 4096, 0.75, 4096
 
 
 @dataclass
 class Tree:
-    """Arrays by node: split direction and offset, children (-1 in a leaf), share of the sample below."""
+    """Arrays by node: split direction and offset, children (-1 in a leaf), sample rows of a leaf."""
 
     w: np.ndarray
     cut: np.ndarray
     left: np.ndarray
     right: np.ndarray
-    mass: np.ndarray
+    rows: list[np.ndarray]
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), np.int64)
@@ -61,7 +59,7 @@ def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
         me = len(nodes)
         if parent >= 0:
             nodes[parent][side] = me
-        nodes.append([np.zeros(sample.shape[1]), 0.0, -1, -1, len(rows) / max(len(sample), 1)])
+        nodes.append([np.zeros(sample.shape[1]), 0.0, -1, -1, rows])
         if len(rows) <= leaf:
             continue
         w = rng.normal(size=sample.shape[1])
@@ -70,16 +68,19 @@ def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
         cut = float(np.median(p))
         if not (p <= cut).any() or not (p > cut).any():
             continue
-        nodes[me][0], nodes[me][1] = w, cut
+        nodes[me][0], nodes[me][1], nodes[me][4] = w, cut, rows[:0]
         todo += [(rows[p <= cut], me, 2), (rows[p > cut], me, 3)]
-    return Tree(*(np.array([n[k] for n in nodes]) for k in range(5)))
+    return Tree(*(np.array([n[k] for n in nodes]) for k in range(4)), [n[4] for n in nodes])
 
 
 def leaves_for(trees: list[Tree], q: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """Leaves (tree, node) in the order of the shared queue until they hold share of the rows."""
+    """Leaves (tree, node) in the order of the shared queue until they hold share of the distinct rows; all of a tree's for 1."""
+    if share >= 1:
+        return [(0, int(n)) for n in np.flatnonzero(trees[0].left < 0)]
     margin = [t.w @ q - t.cut for t in trees]
-    queue, out, held = [(0.0, k, 0) for k in range(len(trees))], [], 0.0
-    while queue and held < share:
+    seen = np.zeros(sum(map(len, trees[0].rows)), bool)
+    queue, out, held, want = [(0.0, k, 0) for k in range(len(trees))], [], 0, share * len(seen)
+    while queue and held < want:
         far, k, node = heapq.heappop(queue)
         t, m = trees[k], margin[k]
         while t.left[node] >= 0:
@@ -87,11 +88,18 @@ def leaves_for(trees: list[Tree], q: np.ndarray, share: float) -> list[tuple[int
             heapq.heappush(queue, (far + m[node] ** 2, k, int(other)))
             node = int(near)
         out.append((k, node))
-        held += t.mass[node]
+        rows = t.rows[node]
+        held += len(rows) - np.count_nonzero(seen[rows])
+        seen[rows] = True
     return out
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, fit_rows: int = FIT_ROWS, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, share: float = SHARE, budget: int = BUDGET, seed: int = 3) -> DataFrame:
+def aim(total: int, k: int, share: float = SHARE) -> float:
+    """The share of the distinct rows that a query takes."""
+    return share
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, fit_rows: int = FIT_ROWS, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, share: float = SHARE, seed: int = 3) -> DataFrame:
     """The k nearest found by inner product: query_id, rank, vec_id, score. df and queries hold (vec_id, embedding)."""
     index, asked = usable(df), usable(queries)
     total = index.count()
@@ -101,7 +109,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, f
     rng = np.random.default_rng(seed)
     leaf = min(leaf_rows, total / leaves)
     forest = [grow(x, max(4, round(leaf * len(x) / total)), rng) for _ in range(trees)] if len(x) else []
-    share = min(share, budget / max(total, 1))
+    share = aim(total, k, share)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
