@@ -2,7 +2,7 @@
 
 The trees are fitted on a bounded sample (``fit_rows``, about; a share of id hashes); every row is indexed in every tree. A query
 keeps one queue over all trees, ordered by the summed squared margins that a branch lies beyond, and takes leaves until they
-hold ``share`` of the rows; a row that several trees hold counts once (read off the sample). Where
+hold ``share`` of the rows, and MARGIN times k rows at least; a row that several trees hold counts once (read off the sample). Where
 that is every row, one tree's leaves are all taken. Rows of the leaves are ranked exactly in double precision. The share is the same
 at every size, so comparisons grow with rows times queries. A tree has LEAVES leaves until they would pass LEAF_ROWS rows, then
 more. Leaves with more than BLOCK rows are split into blocks, leaves with more than BLOCK queries serve them in several groups, so a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .vectors import groups, matrix, usable
 
-TREES, FIT_ROWS, LEAVES, LEAF_ROWS, SHARE, BLOCK = 6, 20_000, 64, 4096, 0.75, 4096
+TREES, FIT_ROWS, LEAVES, LEAF_ROWS, SHARE, MARGIN, BLOCK = 6, 20_000, 64, 4096, 0.75, 64, 4096
 
 
 @dataclass
@@ -96,7 +96,7 @@ def leaves_for(trees: list[Tree], q: np.ndarray, share: float) -> list[tuple[int
 
 def aim(total: int, k: int, share: float = SHARE) -> float:
     """The share of the distinct rows that a query takes."""
-    return share
+    return max(share, MARGIN * k / max(total, 1))
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, fit_rows: int = FIT_ROWS, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, share: float = SHARE, seed: int = 3) -> DataFrame:

@@ -5,6 +5,15 @@ import numpy as np
 from sitelens.llm import forest
 
 
+def test_neighbours_of_small_tables_are_whole(spark):
+    for n in (12, 25, 100):
+        v = np.random.default_rng(n).normal(size=(n, 64))
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        found = forest.search(df, df).toPandas()
+        want = {(q, i) for q in range(n) for i in sorted((j for j in range(n) if j != q), key=lambda j: -(v[q] @ v[j]))[:20]}
+        assert set(zip(found.query_id, found.vec_id, strict=True)) == want
+
+
 def test_neighbours_share_does_not_fall_with_size():
     assert forest.aim(10**5, 20) == forest.aim(10**8, 20) == forest.SHARE
     rng = np.random.default_rng(0)
