@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership, in column expressions only.
 
-Patterns find base spans (assign, access, hex). The method adds spans: any other long mixed token whose hash belongs to one
-owner in the whole corpus (kind ``owned``) looks live, while tokens that several owners hold are copied examples. Candidate
-hashes are counted by distinct repositories (``source``) and owners (the source's name without its trailing number).
-Counts combine before the shuffle; hashes that hold over 1/HOT of all candidate rows (so at most HOT of them) are broadcast.
+Patterns find base spans (assign, access, hex); any other long mixed token is a candidate too. The hashes of all candidates (of an
+assign span its value) are counted by distinct repositories (``source``) and owners (the source's name without its trailing number)
+in the whole corpus: what one owner holds, in however many repositories, looks live; what several owners hold is a copied example.
+Each span gets its counts and that flag; base spans stay either way, live tokens are added (kind ``owned``). Counts combine before the shuffle; hashes that hold over 1/HOT of all candidate rows (so at most HOT of them) are broadcast.
 
 Spans are whole matches in code points, end exclusive. Defined results: null text is empty; empty texts have no spans and the hash
 of an empty string; null sources are one repository; rows that repeat doc_id and text get equal rows; empty tables give no rows; other
@@ -56,8 +56,15 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.element_at(kinds, x.k + 1), x.s.cast("string"), x.e.cast("string"))), ",")
 
 
+def ownership(held: Column) -> Column:
+    """kind:start:end:repositories:owners:live or copied of each candidate by start, then kind, comma-joined; kind ``owned`` is a token."""
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    flag = lambda x: F.when(x.live, "live").otherwise("copied")
+    return F.array_join(F.transform(F.array_sort(held), lambda x: F.concat_ws(":", F.element_at(kinds, x.k + 1), x.s.cast("string"), x.e.cast("string"), x.repositories.cast("string"), x.owners.cast("string"), flag(x))), ",")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, base spans, added spans, and how many distinct owners hold each added token."""
+    """One row per row of docs: doc_id, text keys k1 and k2, base spans, added spans, and all candidates with their counts (held)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     value = F.regexp_extract
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"))
@@ -75,10 +82,12 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     # a token that a base span covers is already found
     free = F.filter("tokens", lambda t: ~F.exists(F.col("base"), lambda b: (b.s <= t.s) & (b.e >= t.e)))
-    base = base.withColumn("tokens", F.transform(free, lambda t: F.struct(t.s.alias("s"), t.k.alias("k"), t.e.alias("e"), F.xxhash64(t.m).alias("h"))))
-    base = materialize(base.withColumn("base", F.transform("base", lambda b: F.struct(b.s.alias("s"), b.k.alias("k"), b.e.alias("e")))), "spans")
+    secret = lambda m, k: F.when(k == 0, value(m, ASSIGN, 1)).otherwise(m)
+    held = F.transform(F.concat("base", free), lambda t: F.struct(t.s.alias("s"), t.k.alias("k"), t.e.alias("e"), F.xxhash64(secret(t.m, t.k)).alias("h")))
+    base = base.select("doc_id", "source", "k1", "k2", F.transform("base", lambda b: F.struct(b.s.alias("s"), b.k.alias("k"), b.e.alias("e"))).alias("base"), held.alias("held"))
+    base = materialize(base, "spans")
 
-    each = base.where(F.size("tokens") > 0).select("doc_id", "source", "k1", "k2", F.explode("tokens").alias("t")).select("*", F.col("t.h").alias("h"))
+    each = base.where(F.size("held") > 0).select("doc_id", "source", "k1", "k2", F.explode("held").alias("t")).select("*", F.col("t.h").alias("h"))
     owner = F.regexp_replace("source", r"\d+$", "")
     repos = each.groupBy("h", "source").agg(F.count("*").alias("n"))
     freq = repos.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"), F.count_distinct(owner).alias("owners"))
@@ -88,11 +97,13 @@ def scan(docs: DataFrame) -> DataFrame:
     hot, cold = F.broadcast(freq.where(F.col("n") >= cut)), freq.where(F.col("n") < cut)
     often = each.join(hot, "h")
     rare = each.join(F.broadcast(freq.where(F.col("n") >= cut).select("h")), "h", "left_anti").join(cold, "h")
-    live = often.unionByName(rare).where((F.col("repositories") == 1) & (F.col("owners") == 1))
-    added = live.groupBy("doc_id", "k1", "k2").agg(F.collect_set(F.struct("t.s", "t.k", "t.e")).alias("added"))
+    counted = F.struct("t.s", "t.k", "t.e", "repositories", "owners", (F.col("owners") == 1).alias("live"))
+    counts = often.unionByName(rare).groupBy("doc_id", "k1", "k2").agg(F.collect_set(counted).alias("held"))
     same = (F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("l.k1") == F.col("r.k1")) & (F.col("l.k2") == F.col("r.k2"))
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return base.alias("l").join(added.alias("r"), same, "left").select("l.doc_id", "l.base", F.coalesce("r.added", none).alias("added"))
+    none = F.array().cast("array<struct<s:int,k:int,e:int,repositories:bigint,owners:bigint,live:boolean>>")
+    out = base.drop("held").alias("l").join(counts.alias("r"), same, "left").select("l.doc_id", "l.k1", "l.k2", "l.base", F.coalesce("r.held", none).alias("held"))
+    added = F.transform(F.filter("held", lambda x: (x.k == 3) & x.live), lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e")))
+    return out.select("doc_id", "k1", "k2", "base", added.alias("added"), "held")
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +116,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.concat("base", "added")).alias("spans"),
+        ownership(F.col("held")).alias("ownership"),
     )
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sitelens.llm import forest
+from sitelens.llm import forest, secrets
 
 
 def test_neighbours_of_small_tables_are_whole(spark):
@@ -23,3 +23,22 @@ def test_neighbours_share_does_not_fall_with_size():
         took = forest.leaves_for(trees, q, forest.aim(10**8, 20))
         rows = np.unique(np.concatenate([trees[t].rows[n] for t, n in took]))
         assert len(rows) >= forest.SHARE * len(x)
+
+
+def test_secret_counts_of_base_values_and_owners(spark):
+    key, copied, live = "0123456789abcdef" * 2, "fedcba98" * 4, "Ab3" * 10
+    rows = [
+        (1, f"a {key}", "acme1"),
+        (2, f"token={key}", "acme2"),
+        (3, f"a {copied} b", "acme1"),
+        (4, f"b {copied}", "other2"),
+        (5, f"use {live}", "acme1"),
+        (6, f"use {live}", "acme2"),
+        (7, None, None),
+    ]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    held = {i: {(x.k, x.repositories, x.owners, x.live) for x in r.held} for i, r in got.items()}
+    assert held[1] == {(2, 2, 1, True)} and held[2] == {(0, 2, 1, True), (2, 2, 1, True)}
+    assert held[3] == held[4] == {(2, 2, 2, False)} and not held[7]
+    # one owner's token in two of its repositories is not a copied example
+    assert [len(got[i].added) for i in (5, 6)] == [1, 1] and held[5] == held[6] == {(3, 2, 1, True)}
