@@ -125,16 +125,18 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Each found span (base or owned) is cut from the text; overlapping spans are one mark."""
     found = scan(docs).where(F.size("base") + F.size("added") > 0)
-    # rows with one doc_id and different texts must not share marks, so the text's spans are keyed by what scan saw
-    found = found.select("doc_id", F.concat("base", "added").alias("all")).withColumn("all", F.array_sort("all"))
-    found = found.groupBy("doc_id").agg(F.first("all").alias("all"), F.count_distinct("all").alias("texts")).where("doc_id IS NOT NULL AND texts = 1")
+    # rows of one doc_id with different texts, or of a null doc_id, must not share marks: the text's keys are part of the key
+    found = found.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.array_sort(F.concat("base", "added")).alias("_all"))
+    found = found.groupBy("_id", "_k1", "_k2").agg(F.first("_all").alias("_all"))
     cut = F.aggregate(
-        "all",
+        "_all",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.when(x.s < a.at, F.struct(F.greatest(a.at, x.e).alias("at"), a.out.alias("out"))).otherwise(
             F.struct(x.e.alias("at"), F.concat(a.out, F.substring(F.col("text"), a.at + 1, x.s - a.at), F.lit("<SECRET>")).alias("out"))
         ),
         lambda a: F.concat(a.out, F.substring(F.col("text"), a.at + 1, F.length("text"))),
     )
-    out = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("all").isNotNull(), cut).otherwise(F.col("text")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(F.lit(7), text) == F.col("_k2"))
+    out = docs.join(found, same, "left").withColumn("text", F.when(F.col("_all").isNotNull(), cut).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

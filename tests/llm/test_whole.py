@@ -42,3 +42,14 @@ def test_secret_counts_of_base_values_and_owners(spark):
     assert held[3] == held[4] == {(2, 2, 2, False)} and not held[7]
     # one owner's token in two of its repositories is not a copied example
     assert [len(got[i].added) for i in (5, 6)] == [1, 1] and held[5] == held[6] == {(3, 2, 1, True)}
+
+
+def test_masks_rows_of_null_and_repeated_ids(spark):
+    key = "0123456789abcdef" * 2
+    rows = [(None, f"a {key}"), (None, f"bb {key} c"), (None, None), (1, f"a {key}"), (1, f"longer {key}"), (2, f"a {key}"), (2, "clean text of some length here, longer than the key")]
+    rows = [(i, t, "en", "acme1", 0) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = secrets.mask_secrets(spark, docs, "")
+    want = [(i, t and t.replace(key, "<SECRET>")) for i, t, *_ in rows]
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
