@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sitelens.llm import forest, secrets
+from sitelens.llm import forest, secrets, wrappers
 
 
 def test_neighbours_of_small_tables_are_whole(spark):
@@ -53,3 +53,16 @@ def test_masks_rows_of_null_and_repeated_ids(spark):
     want = [(i, t and t.replace(key, "<SECRET>")) for i, t, *_ in rows]
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def _texts(spark, pages):
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_class_words_do_not_empty_pages(spark):
+    inner = "<p>a long enough text of the page</p><div class='sidebar'>links</div>"
+    wraps = ["<body class='has-sidebar'>{}</body>", "<body class='search'>{}</body>", "<body><div id='main' class='with-sidebar'>{}</div></body>", "<body><article class='post has-share share'>{}</article></body>", "<body><div class='promo'>{}</div></body>"]
+    pages = [(f"http://h{i}/", w.format(inner)) for i, w in enumerate(wraps)]
+    assert _texts(spark, pages) == ["a long enough text of the page"] * 5
