@@ -66,3 +66,18 @@ def test_class_words_do_not_empty_pages(spark):
     wraps = ["<body class='has-sidebar'>{}</body>", "<body class='search'>{}</body>", "<body><div id='main' class='with-sidebar'>{}</div></body>", "<body><article class='post has-share share'>{}</article></body>", "<body><div class='promo'>{}</div></body>"]
     pages = [(f"http://h{i}/", w.format(inner)) for i, w in enumerate(wraps)]
     assert _texts(spark, pages) == ["a long enough text of the page"] * 5
+    ad = "<body><div class='ad'>an advertisement longer than the text</div><article><p>short</p></article></body>"
+    assert _texts(spark, [("http://h/", ad)]) == ["short"]
+
+
+def test_wrapper_decides_before_article(spark):
+    text = "<p>{0} first paragraph, much longer than any teaser of the page</p><p>{0} second paragraph, as long as the one before it</p>"
+    teasers = "<section><article>see {0}</article><article>and {0}</article></section>"
+    main = "<body><main>" + text + "</main>" + teasers + "</body>"
+    box = "<body><div class='text'>" + text + "</div>" + teasers + "</body>"
+    # a host's second template, of which one long page has its text behind the first 262,144 characters
+    late = "<body><div class='top'>all pages say this</div><!--" + "x" * (1 << 18) + "--><div class='body'>" + text + "</div></body>"
+    words = ["alpha", "beta", "gamma"]
+    pages = [(f"http://one/{w}", page.format(w)) for w in words for page in (main, box, late)]
+    want = [f"{w} first paragraph, much longer than any teaser of the page\n{w} second paragraph, as long as the one before it" for w in words for _ in range(3)]
+    assert _texts(spark, pages) == want
