@@ -105,9 +105,42 @@ def test_line_runs(spark):
     assert got == {1: rows[0][1], 2: "other\ntail", 3: "other", 4: None, None: ""}
 
 
+def test_anchors_do_not_depend_on_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    raw = np.concatenate([rng.integers(97, 101, 9000), np.full(700, 97), rng.integers(97, 99, 3000)]).astype(np.uint8)
+    ends = np.array([4000, 4100, 9000, len(raw)])
+    want = substrings.anchors(raw, ends)
+    assert sum((want[1] - want[0] + 1)) == sum(max(0, n - 199) for n in np.diff([0, *ends]))
+    monkeypatch.setattr(substrings, "CHUNK", 1000)
+    assert all((a == b).all() for a, b in zip(want, substrings.anchors(raw, ends), strict=True))
+
+
+@pytest.mark.parametrize("carry", [1, 3, 1000])
+def test_settled_places_do_not_depend_on_batches(carry, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "CARRY", carry)
+    rng = np.random.default_rng(5)
+    n = 400
+    key, context, lo = np.sort(rng.integers(0, 30, n)), rng.integers(0, 12, n), np.arange(n, dtype=np.int32)
+    key[100:250] = 11
+    key, order = np.sort(key), None
+    order = np.lexsort((context, key))
+    key, context, lo = key[order], context[order], lo[order]
+    kinds = Counter(zip(key.tolist(), context.tolist(), strict=True))
+    many = Counter(k for k, _ in kinds)
+    none = np.zeros(n, bool)
+    whole = substrings._batch([key, context, none, none, lo.astype(np.int64), lo, lo, lo, lo], substrings._FOUND)
+    for step in (1, 7, 400):
+        out = [r for b in substrings._settle(iter([whole.slice(i, step) for i in range(0, n, step)]), 200) for r in b.to_pylist()]
+        assert {r["k1"] for r in out if r["span"]} == {i for k, c, i in zip(key.tolist(), context.tolist(), lo.tolist(), strict=True) if kinds[k, c] > 1}
+        asked = Counter((r["key"], context[list(lo).index(r["k1"])]) for r in out if r["asked"])
+        assert asked == Counter({kc: 1 for kc in kinds if many[kc[0]] > 1})
+    assert pa
+
+
 @pytest.mark.parametrize("big", [1, 4096])
-def test_substrings_match_brute_force(docs, big, monkeypatch):
-    monkeypatch.setattr(substrings.repeated_spans, "__defaults__", (substrings.LENGTH, big))
+def test_substrings_match_brute_force(docs, big):
     raws = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = Counter(b[k : k + 200] for _, b in raws for k in range(len(b) - 199))
     want = Counter()
@@ -118,7 +151,7 @@ def test_substrings_match_brute_force(docs, big, monkeypatch):
                 gone[k : k + 200] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         want[d, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), kept] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs).collect()) == want
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs, big=big).collect()) == want
 
 
 def test_bpe_is_the_tokenizers(docs):
