@@ -13,9 +13,8 @@ table gives no pieces; other columns are ignored. Texts longer than a window are
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .words import SPACE, UNSURE, Cache, Texts, classes, gather, lay, odd_rows, parts, word_level
 
 LENGTH, END_ID = 2048, 1
 #: Tokens of padding that a cut inside a document, at a sentence or elsewhere, is worth.
@@ -34,19 +34,23 @@ SENTENCE_PENALTY, WORD_PENALTY = 2, 6
 STEP = 32
 #: Boundaries are placed once a stream holds so many tokens: the programme's memory.
 STREAM = 64 * LENGTH
-_CACHE = 400_000
+CACHE = 600_000
 
-#: Texts of these characters alone are split and lower-cased here as the tokenizer does; others go to it whole.
-_PLAIN = re.compile(r"[\t\n\r -~¡«»¿À-ÿ–—‘’“”„…€]*")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_SENTENCE = re.compile(r"(?<=[.!?|])(?=\s)|(?<=\n)")
+
+@lru_cache(maxsize=1)
+def _hard() -> np.ndarray:
+    """Code points that the tokenizer's normal form may change otherwise than by one lower-case letter each: texts with one go to it whole."""
+    out = np.ones(0x110000, bool)
+    for lo, hi in ((0, 0x300), (0x370, 0x483), (0x48A, 0x590), (0x2000, 0x2C00), (0x3000, 0x3097), (0x309B, 0x3100), (0x3400, 0xA000), (0xAC00, 0xD7A4)):
+        out[lo:hi] = [len(chr(c).lower()) != 1 or not unicodedata.is_normalized("NFC", chr(c)) or unicodedata.combining(chr(c)) > 0 for c in range(lo, hi)]
+    out[ord("Σ")] = True  # its lower case depends on its place
+    return out | (classes() == UNSURE)
 
 
 class WordTokenizer:
-    """Ids of texts, sentence by sentence, as bytes of little-endian unsigned 32-bit ids; words are looked up once.
+    """Ids of many texts at once, with the ends of their sentences; distinct words are looked up, each is learned once.
 
-    Words that are not in the bounded cache go to the library together, apart by spaces, which it drops; a word's last id is
-    one that ends a word.
+    New words go to the library together, apart by spaces, which it drops; a word's last id is one that ends a word.
     """
 
     def __init__(self, path: str):
@@ -56,34 +60,48 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.words) >= _CACHE:
-            self.words.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        raw = self.whole(" ".join(new))
-        ids = np.frombuffer(raw, "<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        for w, lo, hi in zip(new, [0, *stops.tolist()], stops.tolist(), strict=False):
-            self.words[w] = raw[lo:hi]
-
-    def sentences(self, text: str) -> list[bytes]:
-        """The ids of text in order, cut where sentences end; a text of rare characters is one sentence."""
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return [self.whole(text)]
-        text = text.lower()
-        get, parts = self.words.__getitem__, [_WORD.findall(s) for s in _SENTENCE.split(text)]
-        try:
-            return [b"".join(map(get, words)) for words in parts]
-        except KeyError:
-            self.learn(_WORD.findall(text))
-            return [b"".join(map(get, words)) for words in parts]
+        self.cache = Cache(self.learn, CACHE)
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        raw = np.array(self.library.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        stops = (np.flatnonzero(self.ends[raw]) + 1) * 4
+        data = raw.tobytes()
+        return [data[lo:hi] for lo, hi in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids and the sizes of its sentences; a text that goes to the library whole is one sentence."""
+        odd = {i for a in self.added for i, x in enumerate(texts) if a in x} | set(odd_rows(lay(texts), _hard()).tolist())
+        t = lay(["" if i in odd else x.lower() for i, x in enumerate(texts)])
+        lo, hi = word_level(t)
+        codes, words = t.words(lo, hi)
+        n, begin, flat = self.cache.ids(words)
+        ids, total = flat[gather(n, begin, codes)], np.concatenate([[0], np.cumsum(n[codes])])
+        first = total[np.searchsorted(lo, t.rows)].tolist()
+        cuts = total[self.sentence_ends(t, lo, hi)]
+        held = np.searchsorted(cuts, first[1:], side="left").tolist()
+        out, k = [], 0
+        for i, (a, b, m) in enumerate(zip(first[:-1], first[1:], held, strict=True)):
+            if i in odd:
+                whole = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4")
+                out.append((whole, np.array([len(whole)])))
+            else:
+                # an end at a text's end closes its last sentence all the same
+                out.append((ids[a:b], np.diff(np.concatenate([[a], cuts[k:m], [b]]))))
+            k = m + 1 if m < len(cuts) and cuts[m] == b else m
+        return out
+
+    @staticmethod
+    def sentence_ends(t: Texts, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Numbers of the words after which a sentence ends: a stop before white space, or a line's end."""
+        if not len(hi):
+            return np.zeros(0, np.int64)
+        after = np.append(t.points, 0)[hi]
+        lines = np.concatenate([[0], np.cumsum(t.points == 10)])
+        stop = np.isin(t.points[hi - 1], [ord(c) for c in ".!?|"]) & (np.append(classes()[t.points], 0)[hi] == SPACE)
+        return np.flatnonzero(stop | (after == 10) | (lines[np.append(lo[1:], len(t.points))] > lines[hi])) + 1
 
 
 @lru_cache(maxsize=2)
@@ -95,22 +113,25 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def choose_cuts(bounds: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
     """Indices of the boundaries at which windows end, the last one included.
 
-    bounds: increasing token offsets, bounds[0] = 0, gaps at most length. Padding counts except after the last window.
+    bounds: increasing token offsets, bounds[0] = 0, gaps at most length. The queue's least f(j) + P_j gives
+    f(i) = f(j) + P_j + length - P_i + penalty(i), so f(i) + P_i needs no P_i.
     """
     n = len(bounds)
-    best, back = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(j) + P_j, j), values increasing
+    back = [0] * n
+    values, nodes, head = [0], [0], 0  # the queue: f(j) + P_j and j from head on, values increasing
     p, pen = bounds.tolist(), penalty.tolist()
     for i in range(1, n):
         at = p[i]
-        while p[queue[0][1]] < at - length:
-            queue.popleft()
-        value, back[i] = queue[0]
-        best[i] = value + pen[i] + (length - at if i < n - 1 else -at)
-        value = best[i] + at
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, i))
+        while p[nodes[head]] < at - length:
+            head += 1
+        back[i] = nodes[head]
+        value = values[head] + pen[i]
+        value += length
+        while len(values) > head and values[-1] >= value:
+            values.pop()
+            nodes.pop()
+        values.append(value)
+        nodes.append(i)
     cuts, i = [], n - 1
     while i:
         cuts.append(i)
@@ -118,28 +139,34 @@ def choose_cuts(bounds: np.ndarray, penalty: np.ndarray, length: int) -> list[in
     return cuts[::-1]
 
 
-def cut_stream(sizes: list[list[int]], length: int, final: bool) -> tuple[list[int], int]:
+def boundaries(sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places where windows may end, from 0 on, and their penalties, for documents given as sizes of their sentences."""
+    last = np.cumsum([len(d) for d in sizes]) - 1
+    each = np.concatenate(sizes).astype(np.int64)
+    ends = np.cumsum(each)
+    cost = np.full(len(each), SENTENCE_PENALTY)
+    cost[last] = 0
+    fine = each > 0
+    fine[last] = True
+    each, ends, cost = each[fine], ends[fine], cost[fine]
+    more = np.maximum(each - 1, 0) // STEP
+    inside = np.repeat(ends - each, more) + STEP * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
+    at = np.concatenate([[0], ends, inside])
+    cost = np.concatenate([[0], cost, np.full(len(inside), WORD_PENALTY)])
+    order = np.lexsort((cost, at))
+    at, cost = at[order], cost[order]
+    first = np.concatenate([[True], at[1:] != at[:-1]])
+    return at[first], cost[first]
+
+
+def cut_stream(sizes: list[np.ndarray], length: int, final: bool) -> tuple[list[int], int]:
     """Window ends (token offsets) for documents given as sizes of their sentences (the last one ends the document).
 
     Unless final, the last windows are left open: only ends up to one window before the end are settled.
     """
-    ends, pens, at = [0], [0], 0
-    for doc in sizes:
-        for k, s in enumerate(doc):
-            if s:
-                inside = range(at + STEP, at + s, STEP)
-                ends += inside
-                pens += [WORD_PENALTY] * len(inside)
-                at += s
-                if at > ends[-1]:
-                    ends.append(at)
-                    pens.append(0 if k == len(doc) - 1 else SENTENCE_PENALTY)
-                elif k == len(doc) - 1:
-                    pens[-1] = 0
-    cuts = [ends[i] for i in choose_cuts(np.array(ends), np.array(pens), length)]
-    if not final:
-        cuts = [c for c in cuts if c <= at - length]
-    return cuts, at
+    ends, pens = boundaries(sizes)
+    cuts = ends[choose_cuts(ends, pens, length)]
+    return cuts[cuts <= ends[-1] - length].tolist() if not final else cuts.tolist(), int(ends[-1])
 
 
 def _tail(n: int, length: int) -> list[int]:
@@ -147,41 +174,37 @@ def _tail(n: int, length: int) -> list[int]:
     return [length] * (n // length) + [1 << b for b in range(n.bit_length() - 1, -1, -1) if (n % length) >> b & 1]
 
 
-def pack_rows(rows: Iterator[tuple[int | None, list[bytes]]], length: int = LENGTH, stream: int = STREAM) -> Iterator[tuple]:
-    """Pieces (doc_id, start, ids as bytes, doc_tokens, sequence number, offset) of one partition's documents in order."""
-    held: list[tuple[int | None, bytes, list[int], int]] = []  # doc_id, ids left, sizes of sentences left, ids before
-    totals: list[int] = []
+def pack_rows(rows: Iterator[tuple[int | None, np.ndarray, np.ndarray]], length: int = LENGTH, stream: int = STREAM) -> Iterator[tuple]:
+    """Pieces (doc_id, start, ids as bytes, doc_tokens, sequence number, offset) of one partition's documents (id, ids, sizes of sentences) in order."""
+    held: list[tuple[int | None, np.ndarray, np.ndarray, int, int]] = []  # doc_id, ids left, sizes of sentences left, ids before, ids in all
     size, sequence = 0, 0
 
     def emit(windows: list[int]) -> Iterator[tuple]:
-        nonlocal held, totals, size, sequence
+        nonlocal held, size, sequence
         k, used = 0, 0
         for w in windows:
             offset = 0
             while offset < w:
-                doc_id, ids, _, before = held[k]
-                take = min(w - offset, len(ids) // 4 - used)
-                yield doc_id, before + used, ids[4 * used : 4 * (used + take)], totals[k], sequence, offset
+                doc_id, ids, _, before, total = held[k]
+                take = min(w - offset, len(ids) - used)
+                yield doc_id, before + used, ids[used : used + take].tobytes(), total, sequence, offset
                 offset, used = offset + take, used + take
-                if used == len(ids) // 4:
+                if used == len(ids):
                     k, used = k + 1, 0
             sequence += 1
         size -= sum(windows)
         if used:
-            doc_id, ids, sizes, before = held[k]
-            rest, skip = [], used
-            for s in sizes:
-                gone = min(skip, s)
-                skip -= gone
-                if s > gone:
-                    rest.append(s - gone)
-            held[k] = (doc_id, ids[4 * used :], rest, before + used)
-        held, totals = held[k:], totals[k:]
-
-    for doc_id, sentences in rows:
-        held.append((doc_id, b"".join(sentences), [len(s) // 4 for s in sentences], 0))
-        totals.append(len(held[-1][1]) // 4)
-        size += totals[-1]
+            doc_id, ids, sizes, before, total = held[k]
+            ends = np.cumsum(sizes)
+            gone = int(np.searchsorted(ends, used, side="right"))
+            rest = sizes[gone:].copy()
+            rest[0] = ends[gone] - used
+            held[k] = (doc_id, ids[used:], rest, before + used, total)
+        held = held[k:]
+
+    for doc_id, ids, sizes in rows:
+        held.append((doc_id, ids, sizes, 0, len(ids)))
+        size += len(ids)
         if size >= stream:
             cuts, _ = cut_stream([h[2] for h in held], length, False)
             yield from emit(np.diff([0, *cuts]).tolist())
@@ -199,14 +222,17 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = word_tokenizer(tokenizer_path)
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
         first = TaskContext.get().partitionId() << 33
 
-        def rows() -> Iterator[tuple[int | None, list[bytes]]]:
+        def rows() -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
             for b in batches:
-                for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                    sentences = [s for s in t.sentences(text.as_py() or "") if s]
-                    yield doc_id.as_py(), [*sentences[:-1], sentences[-1] + end] if sentences else [end]
+                doc_ids, at = b.column(0).to_pylist(), 0
+                for texts in parts(b.column(1)):
+                    for i, (ids, sizes) in enumerate(t.encode(texts)):
+                        sizes[-1] += 1
+                        yield doc_ids[at + i], np.concatenate([ids, end]), sizes
+                    at += len(texts)
 
         def flush(out: list[tuple]) -> pa.RecordBatch:
             ids, start, raw, total, seq, offset = zip(*out, strict=True)

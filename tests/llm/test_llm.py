@@ -2,11 +2,12 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 
-from sitelens.llm import bpe, forest, jaccard, lines, packing, pivot_index, quality, secrets, substrings, wrappers
+from sitelens.llm import bpe, forest, jaccard, lines, packing, pivot_index, quality, secrets, substrings, words, wrappers
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, rep string, n long"
 
@@ -57,6 +58,75 @@ def test_packing_covers_every_id(docs):
         assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 2048
 
 
+def test_cuts_are_the_cheapest():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n, length = int(rng.integers(2, 13)), 10
+        bounds = np.concatenate([[0], np.cumsum(rng.integers(1, 8, n))])
+        pen = np.concatenate([[0], rng.integers(0, 7, n)])
+
+        def cost(cuts, bounds=bounds, pen=pen):
+            ends = [0, *cuts]
+            sizes = [bounds[b] - bounds[a] for a, b in zip(ends, ends[1:])]
+            return sum(length - s for s in sizes) + sum(pen[c] for c in cuts) if max(sizes) <= length else np.inf
+
+        every = [[*c, n] for k in range(n) for c in combinations(range(1, n), k)]
+        best = min(map(cost, every))
+        assert cost(packing.choose_cuts(bounds, pen, length)) == best
+
+
+def test_packing_pads_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(2)
+    pieces = packing.pack(docs, packing._path())
+    full = pieces.groupBy("sequence_id").agg({"length": "sum"}).toPandas()["sum(length)"].to_numpy()
+    padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in full.tolist())
+    assert padding < 0.02 * full.sum()
+
+
+FUZZ = list(" \n\t" + "'" * 3 + "sStTrReEvVmlLdD.!?|  aéÉß1½　\xa0日本\x1c\x85xΣσİ́͸кК") + ["<|endoftext|>", "<|", "\r\n"]
+
+
+@pytest.mark.parametrize("name", ["word", "byte"])
+def test_ids_are_the_librarys(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    rows = ["".join(r.choices(FUZZ, k=r.randint(0, 24))) for _ in range(4000)]
+    t = Tokenizer.from_file(public_tokenizers.path({"word": "word_bpe_49k.json", "byte": "byte_bpe_50k.json"}[name]))
+    want = [e.ids for e in t.encode_batch(rows, add_special_tokens=False)]
+    if name == "word":
+        got = packing.word_tokenizer(packing._path()).encode(rows)
+        assert [ids.tolist() for ids, _ in got] == want and all(sizes.sum() == len(ids) for ids, sizes in got)
+        return
+    for k in range(0, 4000, 40):
+        u = words.lay(rows[k : k + 40])
+        marks = words.byte_level(u)
+        odd = set(words.odd_rows(u, words.classes() == words.UNSURE).tolist())
+        for i, (a, b) in enumerate(zip(u.rows[:-1], u.rows[1:], strict=True)):
+            if i not in odd and "<|endoftext|>" not in rows[k + i]:
+                at = [*marks[(marks >= a) & (marks < b)], b]
+                cut = ["".join(map(chr, u.points[x:y].tolist())) for x, y in zip(at, at[1:])]
+                assert [y for x in t.encode_batch(cut, add_special_tokens=False) for y in x.ids] == want[k + i]
+
+
+def test_sentences_end_where_they_end():
+    texts = ["one. two\nthree! ", "a.b c", "", "end.\n\nnext", "x?"]
+    t = packing.word_tokenizer(packing._path())
+    for text, (_, sizes) in zip(texts, t.encode(texts), strict=True):
+        parts = [p for p in re.split(r"(?<=[.!?|])(?=\s)|(?<=\n)", text) if p.strip()]
+        assert [s for s in sizes if s] == [len(t.library.encode(p, add_special_tokens=False).ids) for p in parts]
+
+
+def test_lexicon_numbers_its_words(tmp_path):
+    r = random.Random(9)
+    some = sorted({"".join(r.choices("abé", k=r.randint(1, 6))).encode() for _ in range(300)})
+    (tmp_path / "lexicon").write_bytes(bpe.Lexicon.file(some[::2], [[k, k + 1] for k in range(len(some[::2]))]))
+    found = bpe.Lexicon(str(tmp_path / "lexicon"))
+    want = {w: k for k, w in enumerate(some[::2])}
+    assert found.numbers([*some, b"", b"a" * 900]).tolist() == [want.get(w, -1) for w in [*some, b"", b"a" * 900]]
+
+
 def test_jaccard_matches_brute_force(docs):
     def grams(x):
         w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (x or "").lower())
