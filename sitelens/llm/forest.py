@@ -1,16 +1,20 @@
 """Approximate nearest neighbours: a forest of random-projection trees searched through one shared priority queue.
 
-The trees are fitted on a bounded sample (``fit_rows``, about; a share of id hashes); every row is indexed in every tree. A query
-keeps one queue over all trees, ordered by the summed squared margins that a branch lies beyond, and takes leaves until they
-hold ``share`` of the rows, and MARGIN times k rows at least; a row that several trees hold counts once (read off the sample). Where
-that is every row, one tree's leaves are all taken. Rows of the leaves are ranked exactly in double precision. The share is the same
-at every size, so comparisons grow with rows times queries. A tree has LEAVES leaves until they would pass LEAF_ROWS rows, then
-more. Leaves with more than BLOCK rows are split into blocks, leaves with more than BLOCK queries serve them in several groups, so a
-task's group is bounded.
-
-Defined results: rows with null, zero or non-finite vectors, null ids or an odd length take no part; ties go to the smaller id;
-fewer candidates give fewer rows; an empty table gives an empty result; other columns are ignored. Rows that repeat an id are
-one candidate each and are excluded by id from their own query.
+Rows get one more component that gives them all one length, queries a zero there, so the largest inner product is the smallest distance. The
+trees are fitted on a bounded sample (``fit_rows``, about; a share of id hashes); every row is indexed in every tree. A query keeps
+one queue over all trees, ordered by the summed squared margins that a branch lies beyond, and takes leaves until they hold a share
+of the rows, and MARGIN times k rows at least; a row that several trees hold counts once (read off the sample). Where that is every row,
+one tree's leaves are all taken. The share is learned: the least at which TRIALS rows of the sample find ``recall`` of their k
+best rows in the sample. It depends on how the vectors lie, not on how many there are: the k best of more rows lie nearer, so the
+sample's share is on the safe side. Rows of the leaves are ranked exactly in double precision.
+
+A tree has LEAVES leaves until they would pass LEAF_ROWS rows, then more. Leaves with more than BLOCK rows are split into blocks,
+leaves with more than BLOCK queries serve them in several groups, so a task's group is bounded. Vectors that lie in no clusters
+need a large share; comparisons then grow with rows times queries.
+
+Defined results: rows with null, zero or non-finite vectors, null ids or an odd length take no part; only equal scores go by the
+smaller id; fewer candidates give fewer rows; an empty table gives an empty result; other columns are ignored. Rows that repeat an id
+are one candidate each and are excluded by id from their own query.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .vectors import groups, matrix, usable
 
-TREES, FIT_ROWS, LEAVES, LEAF_ROWS, SHARE, MARGIN, BLOCK = 6, 20_000, 64, 4096, 0.75, 64, 4096
+TREES, FIT_ROWS, LEAVES, LEAF_ROWS, RECALL, TRIALS, MARGIN, BLOCK = 6, 20_000, 64, 4096, 0.95, 200, 64, 4096
 
 
 @dataclass
@@ -73,48 +77,91 @@ def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
     return Tree(*(np.array([n[k] for n in nodes]) for k in range(4)), [n[4] for n in nodes])
 
 
-def leaves_for(trees: list[Tree], q: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """Leaves (tree, node) in the order of the shared queue until they hold share of the distinct rows; all of a tree's for 1."""
-    if share >= 1:
-        return [(0, int(n)) for n in np.flatnonzero(trees[0].left < 0)]
+def queue_of(trees: list[Tree], q: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All leaves (tree, node) in the order of the shared queue."""
     margin = [t.w @ q - t.cut for t in trees]
-    seen = np.zeros(sum(map(len, trees[0].rows)), bool)
-    queue, out, held, want = [(0.0, k, 0) for k in range(len(trees))], [], 0, share * len(seen)
-    while queue and held < want:
+    queue = [(0.0, k, 0) for k in range(len(trees))]
+    while queue:
         far, k, node = heapq.heappop(queue)
         t, m = trees[k], margin[k]
         while t.left[node] >= 0:
             near, other = (t.left[node], t.right[node]) if m[node] <= 0 else (t.right[node], t.left[node])
             heapq.heappush(queue, (far + m[node] ** 2, k, int(other)))
             node = int(near)
+        yield k, node
+
+
+def leaves_for(trees: list[Tree], q: np.ndarray, share: float) -> list[tuple[int, int]]:
+    """Leaves in the order of the queue until they hold share of the distinct rows; all of a tree's for 1."""
+    if share >= 1:
+        return [(0, int(n)) for n in np.flatnonzero(trees[0].left < 0)]
+    seen = np.zeros(sum(map(len, trees[0].rows)), bool)
+    out, held, want = [], 0, share * len(seen)
+    for k, node in queue_of(trees, q):
+        if held >= want:
+            break
         out.append((k, node))
-        rows = t.rows[node]
+        rows = trees[k].rows[node]
         held += len(rows) - np.count_nonzero(seen[rows])
         seen[rows] = True
     return out
 
 
-def aim(total: int, k: int, share: float = SHARE) -> float:
+def learn_share(trees: list[Tree], x: np.ndarray, q: np.ndarray, k: int, recall: float) -> float:
+    """The least share of the rows x at which the queries q (the first rows of x) have met recall of their k best others."""
+    met: list[np.ndarray] = []
+    for i, one in enumerate(q):
+        score = x @ one
+        score[i] = -np.inf
+        best = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
+        first, held = np.full(len(x), np.inf), 0
+        for t, node in queue_of(trees, one):
+            rows = trees[t].rows[node]
+            rows = rows[first[rows] == np.inf]
+            held += len(rows)
+            first[rows] = held / len(x)
+            if held == len(x):
+                break
+        met.append(first[best])
+    every = np.sort(np.concatenate(met)) if met else np.ones(1)
+    return float(every[min(len(every) - 1, int(np.ceil(recall * len(every))))]) if len(every) else 1.0
+
+
+def lift(v: np.ndarray, scale: float, longest: float, asks: bool) -> np.ndarray:
+    """Vectors with the component that makes rows equally long (0 for queries, which are brought to that length)."""
+    u = v / scale
+    square = np.einsum("ij,ij->i", u, u)
+    if asks:
+        u = u / np.abs(u).max(axis=1, keepdims=True, initial=1e-300)
+        return np.concatenate([u * (np.sqrt(longest) / np.linalg.norm(u, axis=1))[:, None], np.zeros((len(u), 1))], axis=1)
+    return np.concatenate([u, np.sqrt(np.maximum(longest - square, 0))[:, None]], axis=1)
+
+
+def aim(total: int, k: int, share: float) -> float:
     """The share of the distinct rows that a query takes."""
     return max(share, MARGIN * k / max(total, 1))
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, fit_rows: int = FIT_ROWS, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, share: float = SHARE, seed: int = 3) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, fit_rows: int = FIT_ROWS, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, recall: float = RECALL, seed: int = 3) -> DataFrame:
     """The k nearest found by inner product: query_id, rank, vec_id, score. df and queries hold (vec_id, embedding)."""
     index, asked = usable(df), usable(queries)
-    total = index.count()
+    size = F.array_max(F.transform("v", F.abs))
+    total, scale = index.agg(F.count("*"), F.max(size)).first()
+    longest = index.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / scale) * (x / scale)))).first()[0] if total else 0.0
     cut = int(min(1.0, fit_rows / max(total, 1)) * (1 << 30))
     sample = sorted(index.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) <= cut).collect(), key=lambda r: (r.vec_id, r.v))
-    x = np.array([r.v for r in sample], float)
     rng = np.random.default_rng(seed)
+    raw = rng.permutation(np.array([r.v for r in sample], float))
+    x = lift(raw, scale, longest, False) if len(raw) else raw
     leaf = min(leaf_rows, total / leaves)
     forest = [grow(x, max(4, round(leaf * len(x) / total)), rng) for _ in range(trees)] if len(x) else []
-    share = aim(total, k, share)
+    trials = lift(raw[:TRIALS], scale, longest, True) if len(raw) else raw
+    share = aim(total, k, learn_share(forest, x, trials, k, recall)) if len(raw) > 1 else 1.0
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows and forest:
-                v = matrix(b.column(1))
+                v = lift(matrix(b.column(1)), scale, longest, False)
                 at = np.concatenate([(np.int64(i) << 32) | t.leaf_of(v) for i, t in enumerate(forest)])
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(b.column(0).to_numpy(), trees))], ["leaf", "vec_id"])
 
@@ -123,7 +170,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, f
             if b.num_rows and forest:
                 ids = b.column(0).to_pylist()
                 for lo in range(0, len(ids), 256):
-                    took = [leaves_for(forest, q, share) for q in matrix(b.column(1).slice(lo, 256))]
+                    took = [leaves_for(forest, q, share) for q in lift(matrix(b.column(1).slice(lo, 256)), scale, longest, True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([(t << 32) | n for x in took for t, n in x], pa.int64()), pa.array(np.repeat(np.array(ids[lo : lo + 256], np.int64), [len(x) for x in took]))], ["leaf", "vec_id"]
                     )
@@ -141,7 +188,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, f
                 ids = b.column(0).to_numpy()
                 for lo in range(0, b.num_rows if forest else 0, 128):
                     part, v = ids[lo : lo + 128], matrix(b.column(1).slice(lo, 128))
-                    raw = [r.tobytes() for r in v]
+                    sent, v = [r.tobytes() for r in v], lift(v, scale, longest, of_query)
                     if of_query:
                         at = [[(t << 32) | n for t, n in leaves_for(forest, q, share)] for q in v]
                     else:
@@ -152,9 +199,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, f
                             if leaf in split:
                                 blocks, parts = split[leaf]
                                 if of_query:
-                                    out += [(leaf, g, one * 2654435761 % 4294967291 % parts, 1, one, raw[i]) for g in range(blocks)]
+                                    out += [(leaf, g, one * 2654435761 % 4294967291 % parts, 1, one, sent[i]) for g in range(blocks)]
                                 else:
-                                    out += [(leaf, one * 2654435761 % 4294967291 % blocks, p, 0, one, raw[i]) for p in range(parts)]
+                                    out += [(leaf, one * 2654435761 % 4294967291 % blocks, p, 0, one, sent[i]) for p in range(parts)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names)
 
         return run
@@ -178,7 +225,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, f
         for (query,), slices in groups(batches, 1):
             ids = np.frombuffer(b"".join(x for s in slices for x in s.column(1).to_pylist()), np.int64)
             scores = np.frombuffer(b"".join(x for s in slices for x in s.column(2).to_pylist()), np.float64)
-            order = np.lexsort((ids, -np.round(scores, 12)))
+            order = np.lexsort((ids, -scores))
             ids, scores = ids[order], scores[order]
             _, first = np.unique(ids, return_index=True)
             first = np.sort(first)[:k]
@@ -190,13 +237,15 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, f
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
     """The k best rows of a leaf for each query; scores are summed pair by pair, so equal vectors score equally."""
     s = q @ v.T
+    # what rounding in that product may hide
+    slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max(initial=0)
     s[q_ids[:, None] == ids[None, :]] = -np.inf
     out: tuple[list, list] = ([], [])
     for i in range(len(q_ids)):
-        floor = np.partition(s[i], -k)[-k] - 1e-9 if len(ids) > k else -np.inf
+        floor = np.partition(s[i], -k)[-k] - slack[i] if len(ids) > k else -np.inf
         at = np.flatnonzero((s[i] >= floor) & (s[i] > -np.inf))
         exact = (q[i] * v[at]).sum(axis=1)
-        at_order = np.lexsort((ids[at], -np.round(exact, 12)))[:k]
+        at_order = np.lexsort((ids[at], -exact))[:k]
         out[0].append(ids[at][at_order].tobytes())
         out[1].append(exact[at_order].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["query_id", "ids", "scores"])

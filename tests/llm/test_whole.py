@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import numpy as np
+import pytest
 
 from sitelens.llm import forest, secrets, wrappers
 
@@ -14,15 +15,51 @@ def test_neighbours_of_small_tables_are_whole(spark):
         assert set(zip(found.query_id, found.vec_id, strict=True)) == want
 
 
-def test_neighbours_share_does_not_fall_with_size():
-    assert forest.aim(10**5, 20) == forest.aim(10**8, 20) == forest.SHARE
+def _best(v, q, k=20):
+    score = (v * v[q]).sum(axis=1)
+    return sorted((j for j in range(len(v)) if j != q), key=lambda j: (-score[j], j))[:k]
+
+
+@pytest.mark.parametrize("kind", ["tiny", "huge", "mixed", "ties"])
+def test_neighbours_by_exact_product(spark, kind):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(1500, 24))
+    v *= {"tiny": 1e-8, "huge": 1e9, "mixed": np.exp(1.5 * rng.normal(size=(1500, 1))), "ties": 1.0}[kind]
+    if kind == "ties":
+        v[100:160] = v[100]
+        v[200:230] = v[200] * (1 + 1e-14 * np.arange(30))[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = forest.search(df, df.where("vec_id % 20 = 0")).toPandas().sort_values(["query_id", "rank"])
+    hit, total = 0, 0
+    for q, g in found.groupby("query_id"):
+        score = (v * v[q]).sum(axis=1)
+        assert g["rank"].tolist() == list(range(1, 21)) and np.allclose(g.score, score[g.vec_id], rtol=1e-12)
+        assert list(zip(-g.score, g.vec_id)) == sorted(zip(-g.score, g.vec_id))
+        hit, total = hit + len(set(g.vec_id) & set(_best(v, q))), total + 20
+    assert hit >= 0.9 * total
+
+
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_share_is_learned_from_how_vectors_lie(n):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(2000, 16))
-    trees = [forest.grow(x, 32, rng) for _ in range(forest.TREES)]
-    for q in x[:5]:
-        took = forest.leaves_for(trees, q, forest.aim(10**8, 20))
-        rows = np.unique(np.concatenate([trees[t].rows[n] for t, n in took]))
-        assert len(rows) >= forest.SHARE * len(x)
+    shares = []
+    for clustered in (False, True):
+        x = rng.normal(size=(n, 16)) * (0.1 if clustered else 1)
+        x += clustered * rng.normal(size=(40, 16))[rng.integers(0, 40, n)]
+        longest = float((x * x).sum(axis=1).max())
+        rows, asked = forest.lift(x, 1.0, longest, False), forest.lift(x[:100], 1.0, longest, True)
+        trees = [forest.grow(rows[:2000], 32, rng) for _ in range(forest.TREES)]
+        share = forest.learn_share(trees, rows[:2000], asked, 20, forest.RECALL)
+        leaf = [t.leaf_of(rows) for t in trees]
+        got = 0
+        for i, q in enumerate(asked):
+            mine = np.zeros(n, bool)
+            for t, node in forest.leaves_for(trees, q, share):
+                mine |= leaf[t] == node
+            got += mine[np.argsort(-(x @ x[i]))[1:21]].sum()
+        assert got >= 0.9 * 2000
+        shares.append(share)
+    assert shares[1] < shares[0]
 
 
 def test_secret_counts_of_base_values_and_owners(spark):
