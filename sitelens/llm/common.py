@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,11 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests, one machine)."""
+    """The shared folder that the cluster names; a temporary one only where none is set on one machine, where it goes with the process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(scratch_dir, "own", None) or tempfile.mkdtemp(prefix="spark-")
-        scratch_dir.own = found
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = getattr(scratch_dir, "own", None)
+        if not found:
+            found = scratch_dir.own = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, found, True)
     return found
 
 
@@ -29,6 +35,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them (Spark's names know no case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes of a text, together its identity."""
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(0x5EED), text).alias("k2")]
@@ -58,6 +75,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     stars = e.groupBy("a").agg(F.min("b").alias("b"))
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

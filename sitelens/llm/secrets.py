@@ -1,13 +1,13 @@
 """Secret scans with corpus-wide ownership, in column expressions only.
 
 Patterns find base spans (assign, access, hex); any other long mixed token is a candidate too. The hashes of all candidates (of an
-assign span its value) are counted by distinct repositories (``source``) and owners (the source's name without its trailing number)
+assign span its value) are counted by distinct repositories (``source``) and owners (a source's name before its first /; one without a / is its own owner)
 in the whole corpus: what one owner holds, in however many repositories, looks live; what several owners hold is a copied example.
 Each span gets its counts and that flag; base spans stay either way, live tokens are added (kind ``owned``). Counts combine before the shuffle; hashes that hold over 1/HOT of all candidate rows (so at most HOT of them) are broadcast.
 
 Spans are whole matches in code points, end exclusive. Defined results: null text is empty; empty texts have no spans and the hash
-of an empty string; null sources are one repository; rows that repeat doc_id and text get equal rows; empty tables give no rows; other
-columns are ignored.
+of an empty string; null sources are one repository; rows are told apart by numbers of their own, so null and repeated doc_ids are no
+matter; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 # The patterns of the base kinds with their least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -63,32 +63,33 @@ def ownership(held: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(held), lambda x: F.concat_ws(":", F.element_at(kinds, x.k + 1), x.s.cast("string"), x.e.cast("string"), x.repositories.cast("string"), x.owners.cast("string"), flag(x))), ",")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, text keys k1 and k2, base spans, added spans, and all candidates with their counts (held)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def candidates(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with a number for each row, its base spans and all its candidates with hashes, written once; and the three columns' names."""
+    row, base, held, text = fresh(docs.columns, "row", "base", "held", "whole")
     value = F.regexp_extract
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"))
-    base = base.select(
-        "doc_id",
-        "source",
-        F.xxhash64("text").alias("k1"),
-        F.xxhash64(F.lit(7), "text").alias("k2"),
+    secret = lambda m, k: F.when(k == 0, value(m, ASSIGN, 1)).otherwise(m)
+    out = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = out.withColumn(
+        base,
         F.concat(
-            spans(F.col("text"), ASSIGN, 0, lambda m: F.length(value(m, ASSIGN, 1)) < 6),
-            spans(F.col("text"), ACCESS, 1, lambda m: F.length(m) < 20),
-            spans(F.col("text"), r"[0-9a-f]{24,}", 2, lambda m: F.length(m) < 24),
-        ).alias("base"),
-        spans(F.col("text"), TOKEN, 3, lambda m: ~(m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]"))).alias("tokens"),
+            spans(F.col(text), ASSIGN, 0, lambda m: F.length(value(m, ASSIGN, 1)) < 6),
+            spans(F.col(text), ACCESS, 1, lambda m: F.length(m) < 20),
+            spans(F.col(text), r"[0-9a-f]{24,}", 2, lambda m: F.length(m) < 24),
+        ),
     )
+    out = out.withColumn(held, spans(F.col(text), TOKEN, 3, lambda m: ~(m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]"))))
     # a token that a base span covers is already found
-    free = F.filter("tokens", lambda t: ~F.exists(F.col("base"), lambda b: (b.s <= t.s) & (b.e >= t.e)))
-    secret = lambda m, k: F.when(k == 0, value(m, ASSIGN, 1)).otherwise(m)
-    held = F.transform(F.concat("base", free), lambda t: F.struct(t.s.alias("s"), t.k.alias("k"), t.e.alias("e"), F.xxhash64(secret(t.m, t.k)).alias("h")))
-    base = base.select("doc_id", "source", "k1", "k2", F.transform("base", lambda b: F.struct(b.s.alias("s"), b.k.alias("k"), b.e.alias("e"))).alias("base"), held.alias("held"))
-    base = materialize(base, "spans")
+    free = F.filter(held, lambda t: ~F.exists(F.col(base), lambda b: (b.s <= t.s) & (b.e >= t.e)))
+    found = F.transform(F.concat(base, free), lambda t: F.struct(t.s.alias("s"), t.k.alias("k"), t.e.alias("e"), F.xxhash64(secret(t.m, t.k)).alias("h")))
+    plain = F.transform(base, lambda b: F.struct(b.s.alias("s"), b.k.alias("k"), b.e.alias("e")))
+    return out.select(*docs.columns, row, plain.alias(base), found.alias(held)), [row, base, held]
+
 
-    each = base.where(F.size("held") > 0).select("doc_id", "source", "k1", "k2", F.explode("held").alias("t")).select("*", F.col("t.h").alias("h"))
-    owner = F.regexp_replace("source", r"\d+$", "")
+def counted(found: DataFrame, row: str, source: Column, held: str) -> DataFrame:
+    """(row, held): the candidates of each row that has some, with their repositories, owners and whether they look live."""
+    each = found.where(F.size(held) > 0).select(F.col(row).alias("row"), F.coalesce(source.cast("string"), F.lit("")).alias("source"), F.explode(held).alias("t"))
+    each = each.select("row", "source", "t", F.col("t.h").alias("h"))
+    owner = F.substring_index("source", "/", 1)
     repos = each.groupBy("h", "source").agg(F.count("*").alias("n"))
     freq = repos.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"), F.count_distinct(owner).alias("owners"))
     freq = materialize(freq, "owners")
@@ -97,13 +98,22 @@ def scan(docs: DataFrame) -> DataFrame:
     hot, cold = F.broadcast(freq.where(F.col("n") >= cut)), freq.where(F.col("n") < cut)
     often = each.join(hot, "h")
     rare = each.join(F.broadcast(freq.where(F.col("n") >= cut).select("h")), "h", "left_anti").join(cold, "h")
-    counted = F.struct("t.s", "t.k", "t.e", "repositories", "owners", (F.col("owners") == 1).alias("live"))
-    counts = often.unionByName(rare).groupBy("doc_id", "k1", "k2").agg(F.collect_set(counted).alias("held"))
-    same = (F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("l.k1") == F.col("r.k1")) & (F.col("l.k2") == F.col("r.k2"))
+    one = F.struct("t.s", "t.k", "t.e", "repositories", "owners", (F.col("owners") == 1).alias("live"))
+    return often.unionByName(rare).groupBy("row").agg(F.collect_set(one).alias("held"))
+
+
+def _added(held: Column) -> Column:
+    return F.transform(F.filter(held, lambda x: (x.k == 3) & x.live), lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e")))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, base spans, added spans, and all candidates with their counts (held)."""
+    found, (row, base, held) = candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"))
+    found = materialize(found.select("doc_id", "source", row, base, held), "spans")
+    counts = counted(found, row, F.col("source"), held).withColumnRenamed("held", "counts")
     none = F.array().cast("array<struct<s:int,k:int,e:int,repositories:bigint,owners:bigint,live:boolean>>")
-    out = base.drop("held").alias("l").join(counts.alias("r"), same, "left").select("l.doc_id", "l.k1", "l.k2", "l.base", F.coalesce("r.held", none).alias("held"))
-    added = F.transform(F.filter("held", lambda x: (x.k == 3) & x.live), lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e")))
-    return out.select("doc_id", "k1", "k2", "base", added.alias("added"), "held")
+    out = found.join(counts, found[row] == counts["row"], "left").select("doc_id", F.col(base).alias("base"), F.coalesce("counts", none).alias("held"))
+    return out.select("doc_id", "base", _added(F.col("held")).alias("added"), "held")
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,20 +133,22 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets become <SECRET> in the text; no document goes. Keeps the columns of docs, n_chars renewed.
 
-    Each found span (base or owned) is cut from the text; overlapping spans are one mark."""
-    found = scan(docs).where(F.size("base") + F.size("added") > 0)
-    # rows of one doc_id with different texts, or of a null doc_id, must not share marks: the text's keys are part of the key
-    found = found.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.array_sort(F.concat("base", "added")).alias("_all"))
-    found = found.groupBy("_id", "_k1", "_k2").agg(F.first("_all").alias("_all"))
+    Each found span (base or owned) is cut from the text of its own row; overlapping spans are one mark. Only rows with candidates
+    besides base spans wait for the counts, the others are cut where they lie."""
+    found, (row, base, held) = candidates(docs)
+    found = materialize(found, "spans")
+    (live,) = fresh(found.columns, "live")
+    waits = F.exists(held, lambda x: x.k == 3)
+    counts = counted(found, row, F.col("source"), held).select(F.col("row").alias(row), _added(F.col("held")).alias(live))
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    rows = found.where(~waits).withColumn(live, none).unionByName(found.where(waits).join(counts, row, "left").withColumn(live, F.coalesce(live, none)).select(*found.columns, live))
     cut = F.aggregate(
-        "_all",
+        F.array_sort(F.concat(base, live)),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.when(x.s < a.at, F.struct(F.greatest(a.at, x.e).alias("at"), a.out.alias("out"))).otherwise(
             F.struct(x.e.alias("at"), F.concat(a.out, F.substring(F.col("text"), a.at + 1, x.s - a.at), F.lit("<SECRET>")).alias("out"))
         ),
         lambda a: F.concat(a.out, F.substring(F.col("text"), a.at + 1, F.length("text"))),
     )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(F.lit(7), text) == F.col("_k2"))
-    out = docs.join(found, same, "left").withColumn("text", F.when(F.col("_all").isNotNull(), cut).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = rows.withColumn("text", F.when(F.size(base) + F.size(live) > 0, cut).otherwise(F.col("text")))
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
