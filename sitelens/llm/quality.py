@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 FEATURES, FIT_PARTITIONS, THRESHOLD = 256, 16, 0.3
 _CLASSES = {
@@ -194,8 +195,21 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go. Judged on its own input; rows with one doc_id are scored together."""
-    stats = materialize(document_statistics(docs), "statistics")
-    scored = score(stats, fit(stats, table(spark, sf_dir, "labels")))
-    bad = scored.where(F.col("score") < THRESHOLD).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that the classifier rejects go. Each row is judged by its own text, whatever its doc_id."""
+    (name,) = fresh(docs.columns, "stats")
+    place, schema = docs.columns.index("text"), docs.schema
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stats = pa.array([statistics(t.as_py()) for t in b.column(place)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, stats], [*b.schema.names, name])
+
+    rows = materialize(docs.mapInArrow(describe, StructType([*schema, StructField(name, ArrayType(DoubleType()))])), "statistics")
+    model = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("stats")), table(spark, sf_dir, "labels"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = model.score(np.array(b.column(b.num_columns - 1).to_pylist(), float).reshape(b.num_rows, N_STATS))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(out >= THRESHOLD))
+
+    return rows.mapInArrow(choose, schema)
