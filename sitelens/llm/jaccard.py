@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected, materialize, table
+from .common import connected, fresh, materialize, table
 from .pivot_index import _local_labels
 from .vectors import groups
 
@@ -178,6 +178,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the smallest doc_id stays. Rows without doc_id or words all stay."""
-    gone = similar(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group of near duplicates the row with the smallest doc_id stays (nulls last, of equal ids one row).
+    Rows are told apart by numbers of their own; rows without words all stay."""
+    (row,) = fresh(docs.columns, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups_ = similar(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "component_id")
+    ids = rows.select(F.col(row).alias("node"), F.col("doc_id").cast("long").alias("id")).join(groups_, "node")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    gone = ids.join(first.select("component_id", F.col("m.node").alias("stays")), "component_id").where("node <> stays").select(F.col("node").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
