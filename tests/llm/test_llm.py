@@ -163,7 +163,7 @@ def test_secret_spans(docs):
 
 def test_owned_tokens(spark):
     live, copied = "Ab3" * 10, "Xy7" * 10
-    rows = [(1, f"use {live} here", "acme1"), (2, f"see {copied}", "acme1"), (3, f"see {copied}", "other2")]
+    rows = [(1, f"use {live} here", "acme/1"), (2, f"see {copied}", "acme/1"), (3, f"see {copied}", "other/2")]
     got = {r.doc_id: len(r.added) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {1: 1, 2: 0, 3: 0}
 

@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 import numpy as np
 import pytest
 
-from sitelens.llm import forest, secrets, wrappers
+from sitelens.llm import forest, quality, secrets, wrappers
 
 
 def test_neighbours_of_small_tables_are_whole(spark):
@@ -65,12 +67,12 @@ def test_share_is_learned_from_how_vectors_lie(n):
 def test_secret_counts_of_base_values_and_owners(spark):
     key, copied, live = "0123456789abcdef" * 2, "fedcba98" * 4, "Ab3" * 10
     rows = [
-        (1, f"a {key}", "acme1"),
-        (2, f"token={key}", "acme2"),
-        (3, f"a {copied} b", "acme1"),
-        (4, f"b {copied}", "other2"),
-        (5, f"use {live}", "acme1"),
-        (6, f"use {live}", "acme2"),
+        (1, f"a {key}", "acme/1"),
+        (2, f"token={key}", "acme/2"),
+        (3, f"a {copied} b", "acme/1"),
+        (4, f"b {copied}", "other/2"),
+        (5, f"use {live}", "acme/1"),
+        (6, f"use {live}", "acme/2"),
         (7, None, None),
     ]
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
@@ -84,7 +86,7 @@ def test_secret_counts_of_base_values_and_owners(spark):
 def test_masks_rows_of_null_and_repeated_ids(spark):
     key = "0123456789abcdef" * 2
     rows = [(None, f"a {key}"), (None, f"bb {key} c"), (None, None), (1, f"a {key}"), (1, f"longer {key}"), (2, f"a {key}"), (2, "clean text of some length here, longer than the key")]
-    rows = [(i, t, "en", "acme1", 0) for i, t in rows]
+    rows = [(i, t, "en", "acme/1", 0) for i, t in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = secrets.mask_secrets(spark, docs, "")
     want = [(i, t and t.replace(key, "<SECRET>")) for i, t, *_ in rows]
@@ -118,3 +120,66 @@ def test_wrapper_decides_before_article(spark):
     pages = [(f"http://one/{w}", page.format(w)) for w in words for page in (main, box, late)]
     want = [f"{w} first paragraph, much longer than any teaser of the page\n{w} second paragraph, as long as the one before it" for w in words for _ in range(3)]
     assert _texts(spark, pages) == want
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, row string, base string, held string, live string, whole string, stats string, runs string, all string, _uid string"
+
+
+def _clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "acme/1", 0, *["kept"] * 9) for i, t in rows], CLASH)
+
+
+def _rows(df):
+    got = df.collect()
+    assert df.columns == [c.split()[0] for c in CLASH.split(", ")] and all(r[5:] == ("kept",) * 9 for r in got)
+    return sorted(((r.doc_id, r.text) for r in got), key=str)
+
+
+def test_stages_tell_rows_apart(spark):
+    from sitelens.llm import jaccard, lines
+
+    key = "0123456789abcdef" * 2
+    rows = [(None, f"a {key}"), (None, f"bb {key} c"), (None, None), (1, f"longer {key}"), (1, "a perfectly clean text, that has no secrets in it at all"), (2, "Ab3" * 9)]
+    want = [(i, t and t.replace(key, "<SECRET>").replace("Ab3" * 9, "<SECRET>")) for i, t in rows]
+    assert _rows(secrets.mask_secrets(spark, _clashing(spark, rows), "")) == sorted(want, key=str)
+
+    words = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(4)]
+    rows = [(1, words[0]), (1, words[0]), (None, words[1]), (None, words[1]), (3, words[2]), (2, words[2] + " more"), (2, words[3]), (None, None), (None, "")]
+    want = [(1, words[0]), (None, words[1]), (2, words[2] + " more"), (2, words[3]), (None, None), (None, "")]
+    assert _rows(jaccard.keep_one(spark, _clashing(spark, rows), "")) == sorted(want, key=str)
+
+    run = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(7))
+    rows = [(1, f"first\n{run}"), (1, f"{run}\nlast"), (None, run), (None, None)]
+    want = [(1, f"first\n{run}"), (1, "last"), (None, ""), (None, None)]
+    assert _rows(lines.drop_lines(spark, _clashing(spark, rows), "")) == sorted(want, key=str)
+
+
+def test_good_rows_stay_whatever_their_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    some = [(r.doc_id if k % 3 else None if k % 2 else 7, r.text) for k, r in enumerate(docs.orderBy("doc_id").limit(300).collect())]
+    got = _rows(quality.keep_good(spark, _clashing(spark, [*some, (None, None)]), "/root/testdata/sf0.01"))
+    texts = {t for _, t in got}
+    # a text is kept or goes with all its rows
+    assert 0 < len(got) < 301 and sorted(got, key=str) == sorted(((i, t) for i, t in [*some, (None, None)] if t in texts), key=str)
+
+
+def test_line_runs_match_brute_force(spark):
+    """Runs of random lines with repeated lines, blank lines and tails that only a later place shares."""
+    from sitelens.llm import lines
+
+    r = random.Random(6)
+    pool = [" ".join(f"{k}y{j}" for j in range(r.choice((3, 9, 25, 40)))) for k in range(14)]
+    docs = {i: "\n".join(r.choice(["", *pool]) if r.random() < 0.3 else pool[(i + k) % 14] for k in range(r.randint(0, 14))) for i in range(60)}
+    got = {x.doc_id: x.text for x in lines.drop_repeated_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    places = [(d, [(p, x.strip()) for p, x in enumerate(t.split("\n")) if x.strip()]) for d, t in docs.items()]
+    for n, (d, mine) in enumerate(places):
+        gone = set()
+        for e, other in places[: n + 1]:
+            for i in range(len(mine)):
+                for j in range(i if e == d else len(other)):
+                    k = 0
+                    while i + k < len(mine) and j + k < len(other) and mine[i + k][1] == other[j + k][1]:
+                        k += 1
+                    if sum(len(x.split()) for _, x in mine[i : i + k]) >= 50:
+                        gone |= set(range(mine[i][0], mine[i + k - 1][0] + 1))
+        assert got[d] == "\n".join(x for p, x in enumerate(docs[d].split("\n")) if p not in gone)
