@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import connected, fresh, materialize, table
 from .pivot_index import _local_labels
 from .vectors import groups
+from .words import parts
 
-GRAM, THRESHOLD, RECALL, ROWS, BLOCK = 5, 0.8, 0.9999, 5, 512
+GRAM, THRESHOLD, RECALL, ROWS, BLOCK, _PART = 5, 0.8, 0.9999, 5, 512, 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -43,14 +44,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(text: str | None, n: int = GRAM) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams."""
-    b = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+def gram_sets(texts: list[str | None], n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word n-grams, one text after the other, and where each text's begin (and the end)."""
+    joined = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    starts = np.cumsum([0] + [len(x) + 1 for x in joined])
+    b = np.frombuffer(b"\n".join(joined), np.uint8)
     inside = np.concatenate([[False], _WORD[b], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     lo, hi = edge[::2], edge[1::2]
-    if not len(lo):
-        return np.zeros(0, np.uint64)
     # a word's hash: its bytes' mixed values, weighted by the place in the word
     place = np.zeros(len(b), np.int64)
     place[lo] = lo
@@ -58,29 +59,52 @@ def grams(text: str | None, n: int = GRAM) -> np.ndarray:
     value = _mix((b.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE) + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
     words = _mix(sums[hi] - sums[lo] + (hi - lo).astype(np.uint64))
-    n = min(n, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
+    first = np.searchsorted(lo, starts)  # of each text, and the end
+    out = np.zeros(max(len(words) - n + 1, 0), np.uint64)
     for k in range(n):
         out = _mix(out + words[k : k + len(out)])
-    return np.unique(out)
+    sets: list[np.ndarray] = []
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if j - i >= n:
+            g = np.sort(out[i : j - n + 1])
+            sets.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
+        elif j > i:
+            g = np.zeros(1, np.uint64)
+            for w in words[i:j]:
+                g = _mix(g + w)
+            sets.append(g)
+        else:
+            sets.append(np.zeros(0, np.uint64))
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.cumsum([0] + [len(g) for g in sets])
+
+
+def grams(text: str | None, n: int = GRAM) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of one text's word n-grams."""
+    return gram_sets([text], n)[0]
 
 
-def signature(x: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band hashes of one set."""
+def signatures(x: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band hashes of sets (none empty) that lie one after the other from starts on: one row a set."""
     rng = np.random.default_rng(17)
     a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    low = np.array([_low(x, k) for k in a])
-    out = np.zeros(bands, np.uint64)
+    low = np.empty((bands * rows, len(starts)), np.uint64)
+    ends = np.append(starts[1:], len(x))
+    i = 0
+    while i < len(starts):  # sets that fit a core's cache together
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _PART, side="right")))
+        part, at = x[starts[i] : ends[j - 1]], starts[i:j] - starts[i]
+        y, z = np.empty_like(part), np.empty_like(part)
+        for k in range(len(a)):
+            np.multiply(part, a[k], out=y)
+            np.right_shift(y, np.uint64(31), out=z)
+            np.bitwise_xor(y, z, out=y)
+            np.multiply(y, np.uint64(0x94D049BB133111EB), out=y)
+            low[k, i:j] = np.minimum.reduceat(y, at)
+        i = j
+    out = np.zeros((bands, len(starts)), np.uint64)
     for r in range(rows):
         out = _mix(out * np.uint64(3) + low[r::rows])
-    return _mix(out + np.arange(bands, dtype=np.uint64)).view(np.int64)
-
-
-def _low(x: np.ndarray, k: np.uint64) -> np.uint64:
-    y = x * k
-    y ^= y >> np.uint64(31)
-    y *= np.uint64(0x94D049BB133111EB)
-    return y.min()
+    return _mix(out + np.arange(bands, dtype=np.uint64)[:, None]).T.view(np.int64)
 
 
 def _counts(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -109,13 +133,24 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, recall
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, sig = [], [], []
-            for t in b.column(1):
-                g = grams(t.as_py(), n)
-                k1.append(int(_mix(g).sum(dtype=np.uint64).view(np.int64)) if len(g) else None)
-                k2.append(int(_mix(g + np.uint64(99)).sum(dtype=np.uint64).view(np.int64)) if len(g) else None)
-                sig.append(signature(g, bands, rows).tolist() if len(g) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "bands"])
+            at = 0
+            for texts in parts(b.column(1)):
+                x, bounds = gram_sets(texts, n)
+                some = np.flatnonzero(np.diff(bounds))
+                starts = bounds[:-1][some]
+                sig = signatures(x, starts, bands, rows)
+                keys = [np.add.reduceat(_mix(x + np.uint64(salt)), starts).view(np.int64) if len(some) else np.zeros(0, np.int64) for salt in (0, 99)]
+                none = np.ones(len(texts), bool)
+                none[some] = False
+                wide = []
+                for key in keys:
+                    full = np.zeros(len(texts), np.int64)
+                    full[some] = key
+                    wide.append(pa.array(full, mask=none))
+                offsets = np.concatenate([[0], np.cumsum(~none)]) * bands
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.ascontiguousarray(sig).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *wide, lists], ["doc_id", "k1", "k2", "bands"])
+                at += len(texts)
 
     every = materialize(docs.mapInArrow(describe, "doc_id long, k1 long, k2 long, bands array<long>"), "signatures")
     members = every.where("doc_id IS NOT NULL AND k1 IS NOT NULL")
@@ -133,11 +168,12 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, recall
     texts = texts.select("component", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "doc_id", "n", F.col("own").cast("long"), "k1", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lo, hi), parts in groups(batches, 3):
+        for (_, lo, hi), slices in groups(batches, 3):
             kept: dict[int, tuple] = {}
-            for p in parts:
-                for doc, many, own, key, text in zip(*(p.column(c).to_pylist() for c in ("doc_id", "n", "own", "k1", "text")), strict=True):
-                    g = grams(text, n)
+            for p in slices:
+                x, bounds = gram_sets(p.column("text").to_pylist(), n)
+                for i, (doc, many, own, key) in enumerate(zip(*(p.column(c).to_pylist() for c in ("doc_id", "n", "own", "k1")), strict=True)):
+                    g = x[bounds[i] : bounds[i + 1]]
                     if len(g) and int(_mix(g).sum(dtype=np.uint64).view(np.int64)) == key:  # not another text of this doc_id
                         kept[key] = (doc, many, own, g, key)
             left = [v for v in kept.values() if v[2] == lo]
@@ -165,8 +201,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, recall
     same = members.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = members.groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("c")).where("c > 1").select("doc_id")
     odd = same.join(repeated, same.a == repeated.doc_id, "left_semi")
-    parts = connected(found.select(F.col("rep").alias("a"), F.col("low").alias("b")).unionByName(odd).distinct())
-    of = classes.select("k1", "k2", "rep", "n").join(links, ["rep", "k1"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = connected(found.select(F.col("rep").alias("a"), F.col("low").alias("b")).unionByName(odd).distinct())
+    of = classes.select("k1", "k2", "rep", "n").join(links, ["rep", "k1"], "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = every.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(of, ["k1", "k2"], "left")
     component = F.coalesce("component", "doc_id")

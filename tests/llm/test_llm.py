@@ -276,3 +276,14 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_gram_sets_do_not_depend_on_their_neighbours():
+    texts = [*_texts(), "a b", "ΑΣ ΑΣ end", "", None, "x"]
+    x, bounds = jaccard.gram_sets(texts)
+    for i, t in enumerate(texts):
+        assert (x[bounds[i] : bounds[i + 1]] == jaccard.grams(t)).all() and len(jaccard.grams(t)) == bounds[i + 1] - bounds[i]
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    sig = jaccard.signatures(x, starts, 4, 3)
+    for row, (i, j) in zip(sig, zip(starts, [*starts[1:], len(x)], strict=True), strict=True):
+        assert (jaccard.signatures(x[i:j], np.array([0]), 4, 3)[0] == row).all()
