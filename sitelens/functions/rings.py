@@ -23,3 +23,54 @@ def compactness(ring: Column) -> Column:
     """4 pi area / perimeter squared, 0 for a ring without extent."""
     p = perimeter(ring)
     return F.when(p > 0, F.lit(4.0) * F.pi() * area(ring) / (p * p)).otherwise(0.0)
+
+
+def signed_area(ring: Column) -> Column:
+    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e.a.x * e.b.y - e.b.x * e.a.y) / 2
+
+
+def centroid(ring: Column) -> Column:
+    """struct(x, y), NULL for a ring without extent."""
+    a = signed_area(ring)
+    cross = lambda e: e.a.x * e.b.y - e.b.x * e.a.y
+    x = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e.a.x + e.b.x) * cross(e))
+    y = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e.a.y + e.b.y) * cross(e))
+    return F.when(a != 0, F.struct((x / (a * 6)).alias("x"), (y / (a * 6)).alias("y")))
+
+
+def bounds(ring: Column) -> Column:
+    """struct(west, south, east, north)."""
+    x, y = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
+    return F.struct(F.array_min(x).alias("west"), F.array_min(y).alias("south"), F.array_max(x).alias("east"), F.array_max(y).alias("north"))
+
+
+def clip(ring: Column, convex: Column) -> Column:
+    """The part of a ring within a convex ring (anticlockwise), edge by edge: what lies left of each edge stays, crossings are added."""
+    side = lambda e, p: (e.b.x - e.a.x) * (p.y - e.a.y) - (e.b.y - e.a.y) * (p.x - e.a.x)
+
+    def by_edge(held: Column, e: Column) -> Column:
+        def pieces(s: Column) -> Column:
+            a, b = side(e, s.a), side(e, s.b)
+            t = a / (a - b)
+            cross = F.array(F.struct((s.a.x + t * (s.b.x - s.a.x)).alias("x"), (s.a.y + t * (s.b.y - s.a.y)).alias("y")))
+            end, none = F.array(s.b), F.slice(F.array(s.b), 1, 0)
+            return F.when((a >= 0) & (b >= 0), end).when((a >= 0) & (b < 0), cross).when((a < 0) & (b >= 0), F.concat(cross, end)).otherwise(none)
+
+        return F.flatten(F.transform(_edges(held), pieces))
+
+    return F.aggregate(_edges(convex), ring, by_edge)
+
+
+def overlap(ring: Column, convex: Column) -> Column:
+    """Area that a ring and a convex one share, 0 where they do not meet."""
+    return F.coalesce(area(clip(ring, convex)), F.lit(0.0))
+
+
+def iou(ring: Column, convex: Column) -> Column:
+    both = overlap(ring, convex)
+    either = area(ring) + area(convex) - both
+    return F.when(either > 0, both / either).otherwise(0.0)
+
+
+def box(w: Column, s: Column, e: Column, n: Column) -> Column:
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((w, s), (e, s), (e, n), (w, n))])

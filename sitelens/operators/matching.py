@@ -36,6 +36,31 @@ def nearest_pairs(pairs: DataFrame, left: str, right: str, cost: str, below: flo
     return pairs.where(F.col(cost) < below).groupBy(left).agg(best).select(left, f"b.{right}", f"b.{cost}")
 
 
+def first_unused(pairs: DataFrame, left: str, right: str, max_rounds: int = 1000) -> DataFrame:
+    """Each left in its order takes the first right (in its order) of its pairs that no earlier left took."""
+    return greedy_pairs(pairs.select(left, right).withColumn("_turn", F.col(left)), left, right, "_turn", max_rounds).drop("_turn")
+
+
+def kept_apart(nodes: DataFrame, conflicts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """Nodes (id) that a pass in the order of id keeps: one goes if it conflicts(a, b) with an earlier kept one.
+
+    A node with no earlier undecided neighbour is decided at once, so each round settles all of those: joins on conflicts only."""
+    both = conflicts.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")).where("late <> early").distinct()
+    open_ = materialize(both, "conflicts")
+    gone = None
+    for _ in range(max_rounds):
+        if open_.isEmpty():
+            return nodes if gone is None else nodes.join(gone.withColumnRenamed("late", "id"), "id", "left_anti")
+        # earlier ends that are later in no open conflict are kept: their later ends go
+        waits = open_.select(F.col("late").alias("early")).distinct()
+        settled = open_.join(waits, "early", "left_anti")
+        out = materialize(settled.select("late").distinct(), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        # conflicts of a node that has gone bind no one
+        open_ = materialize(open_.join(out, "late", "left_anti").join(out.withColumnRenamed("late", "early"), "early", "left_anti"), "conflicts")
+    raise RuntimeError(f"kept_apart: conflicts are left after {max_rounds} rounds")
+
+
 def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
     return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
 

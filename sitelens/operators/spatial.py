@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELL, REACH = 0.05, 0.03
@@ -30,6 +30,14 @@ def assign_to_sites(feats: DataFrame, sites: DataFrame, reach: float = REACH) ->
     return kept.groupBy(*feats.columns).agg(best).select(*feats.columns, "b.site", "b.d2")
 
 
-def latest(df: DataFrame, by: str, order: list) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_k = 1").drop("_k")
+def near(left: DataFrame, right: DataFrame, reach: float, keys: list[str] | None = None) -> DataFrame:
+    """Pairs of left(lon, lat, ...) and right(rlon, rlat, ...) within reach degrees, with d2; keys must be equal on both sides.
+
+    Cells are reach wide: each right row lies in its own and the eight around it, so only near pairs are formed and a key with very many
+    rows is dealt by place."""
+    cell = lambda c: F.floor(c / F.lit(reach)).cast("long")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    r = right.withColumn("_s", F.explode(steps)).withColumns({"_x": cell(F.col("rlon")) + F.col("_s.i"), "_y": cell(F.col("rlat")) + F.col("_s.j")}).drop("_s")
+    j = left.withColumns({"_x": cell(F.col("lon")), "_y": cell(F.col("lat"))}).join(r, [*(keys or []), "_x", "_y"]).drop("_x", "_y")
+    dx, dy = F.col("lon") - F.col("rlon"), F.col("lat") - F.col("rlat")
+    return j.withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= reach * reach)

@@ -13,8 +13,29 @@ from sitelens.streaming import live
 QUERY = "supplier 00 the club"
 # Strokes by hole.
 PARS = [4, 5, 3, 4, 4, 3, 5, 4, 4]
-# Painted later wins.
-PAINT = ["woodland", "managed_rough", "driving_range", "fairway", "water", "bunker", "tee", "green", "cart_path", "tree"]
+# Classes in the order in which they are painted, later ones win.
+PAINT = [
+    "woodland",
+    "natural_rough",
+    "managed_rough",
+    "driving_range",
+    "putting_green",
+    "practice",
+    "fairway",
+    "first_cut",
+    "water",
+    "bunker",
+    "sand",
+    "tee",
+    "green",
+    "cart_path",
+    "walking_path",
+    "road",
+    "parking",
+    "building",
+    "bridge",
+    "tree",
+]
 
 
 def _in_sites(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
@@ -22,31 +43,31 @@ def _in_sites(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
     return spatial.assign_to_sites(f, sites(spark, sf_dir))
 
 
-def _pairs(spark: SparkSession, sf_dir: str, tag: str, other: str) -> DataFrame:
-    a = _in_sites(spark, sf_dir, tag).select("site", F.col("feat").alias(tag), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    b = _in_sites(spark, sf_dir, other).select("site", F.col("feat").alias(other), F.col("lon").alias("bx"), F.col("lat").alias("by"))
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(b, "site").select("site", tag, other, (dx * dx + dy * dy).alias("d2"))
+def _pairs(spark: SparkSession, sf_dir: str, tag: str, other: str, reach: float) -> DataFrame:
+    """Pairs of a site's features of two kinds within reach degrees."""
+    a = _in_sites(spark, sf_dir, tag).select("site", F.col("feat").alias(tag), "lon", "lat")
+    b = _in_sites(spark, sf_dir, other).select("site", F.col("feat").alias(other), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
+    return spatial.near(a, b, reach, ["site"]).select("site", tag, other, "d2")
 
 
 def greedy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pins and holes of a site, each used once, nearest pairs first, within 0.02 degrees."""
-    near = _pairs(spark, sf_dir, "pin", "hole").where(F.col("d2") <= 0.02 * 0.02)
+    near = _pairs(spark, sf_dir, "pin", "hole", 0.02)
     return matching.greedy_pairs(near, "pin", "hole", "d2").select("site", "pin", "hole", F.round("d2", 9).alias("d2"))
 
 
 def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tee's nearest hole of its site, closer than 0.015 degrees."""
-    return matching.nearest_pairs(_pairs(spark, sf_dir, "tee", "hole"), "tee", "hole", "d2", 0.015 * 0.015).select("tee", "hole", F.round("d2", 9).alias("d2"))
+    return matching.nearest_pairs(_pairs(spark, sf_dir, "tee", "hole", 0.015), "tee", "hole", "d2", 0.015 * 0.015).select("tee", "hole", F.round("d2", 9).alias("d2"))
 
 
 def self_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crossing centerlines; whole units of 0.000001 degrees keep the side tests exact."""
+    """Crossings of centerlines, one for each order; whole units of 0.000001 degrees keep the side tests exact."""
     k = F.col("o_orderkey")
-    n = lambda a, b: (k * a % b).cast("double")
-    s = table(spark, sf_dir, "orders").where(k % 12 == 5).select(k.alias("id"), n(15485863, 1000000).alias("x0"), n(32452843, 1000000).alias("y0"))
-    s = s.select("id", "x0", "y0", (F.col("x0") + (F.col("id") * 7919 % 20001 - 10000)).alias("x1"), (F.col("y0") + (F.col("id") * 104729 % 20001 - 10000)).alias("y1"))
-    return matching.crossings(s, 10000.0)
+    n = lambda a, b: (k % a * (k % b) % 1000003).cast("double")
+    s = table(spark, sf_dir, "orders").select(k.alias("id"), n(100003, 100019).alias("x0"), n(100043, 100049).alias("y0"))
+    s = s.select("id", "x0", "y0", (F.col("x0") + (F.col("id") * 7919 % 6001 - 3000)).alias("x1"), (F.col("y0") + (F.col("id") * 104729 % 6001 - 3000)).alias("y1"))
+    return matching.crossings(s, 6000.0)
 
 
 def spatial_semi_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,13 +88,17 @@ def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hit_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 40 best hits of a search for a site's name (a top-k report)."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.round(names.search_score(QUERY, F.col("s_name")), 6).alias("score"))
+    k = F.col("s_suppkey")
+    course = F.concat(F.lit("The course "), F.lpad((k % 7).cast("string"), 2, "0"))
+    holes = F.element_at(F.array(F.lit(9), F.lit(18), F.lit(27), F.lit(None)), (k % 4 + 1).cast("int"))
+    away = F.when(k % 5 != 0, (k % 37) / F.lit(2.0))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.round(names.search_score(QUERY, F.col("s_name"), course, k % 2 == 0, holes, away), 6).alias("score"))
     return s.orderBy(F.desc("score"), "s_suppkey").limit(40)
 
 
 def params_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", names.params_key(status=F.col("o_orderstatus"), customer=F.col("o_custkey")).alias("key"))
+    return o.select("o_orderkey", names.params_key("clubs/search", status=F.col("o_orderstatus"), customer=F.col("o_custkey")).alias("key"))
 
 
 def _ring() -> Column:
@@ -88,10 +113,10 @@ def ring_compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chip_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts of 512-pixel windows, 384 apart, the last one moved back to the edge; one image per part."""
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 97 + 512).cast("long").alias("height"))
-    last = F.col("height") - 512
-    return p.select("p_partkey", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(384).cast("long")), F.array(last)))).alias("start"))
+    """Windows of 512 x 512 pixels, 384 apart both ways, the last ones moved back to the edge; one image per part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 97).alias("h"), (F.col("p_partkey") % 11 * 211).alias("w"))
+    starts = lambda n: F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), F.greatest(n.cast("long") - 512, F.lit(0).cast("long")), F.lit(384).cast("long")), F.array(F.greatest(n.cast("long") - 512, F.lit(0).cast("long")))))
+    return p.where("h > 0 AND w > 0").select("p_partkey", F.explode(starts(F.col("h"))).alias("y"), starts(F.col("w")).alias("xs")).select("p_partkey", "y", F.explode("xs").alias("x"))
 
 
 def label_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +178,7 @@ def oracles(assign: str, layer: str) -> dict[str, str]:
     pair = lambda a, b: f"""{assign}, pr AS (SELECT x.site, x.feat AS {a}, y.feat AS {b}, (x.lon - y.lon) * (x.lon - y.lon) + (x.lat - y.lat) * (x.lat - y.lat) AS d2
   FROM a x JOIN a y ON x.site = y.site WHERE x.golf = '{a}' AND y.golf = '{b}')"""
     words = lambda t: f"list_distinct(list_filter(string_split(regexp_replace(lower({t}), '[^a-z0-9]', ' ', 'g'), ' '), lambda w: w NOT IN ('', {', '.join(repr(w) for w in names.STOP_WORDS)})))"
-    found = " + ".join(f"CASE WHEN contains(lower(s_name), '{w}') THEN 0.8::DOUBLE ELSE 0 END" for w in QUERY.split())
+    found = " + ".join(f"CASE WHEN contains({n}, '{w}') THEN {p}::DOUBLE ELSE 0 END" for w in QUERY.split() for n, p in (("lower(s_name)", 0.8), ("course", 0.6)))
     side = lambda m, p: f"sign(({m}.x1 - {m}.x0) * ({p[1]} - {m}.y0) - ({m}.y1 - {m}.y0) * ({p[0]} - {m}.x0))"
     apart = lambda m, n: f"{side(m, (f'{n}.x0', f'{n}.y0'))} * {side(m, (f'{n}.x1', f'{n}.y1'))} < 0"
     paint, pars = ", ".join(f"'{p}'" for p in PAINT), ", ".join(map(str, PARS))
@@ -166,19 +191,23 @@ w AS (SELECT site, k, pin, hole, d2, true AS ok, [pin] AS ps, [hole] AS hs FROM
   FROM w JOIN o ON o.site = w.site AND o.k = w.k + 1)
 SELECT site, pin, hole, round(d2, 9) AS d2 FROM w WHERE ok""",
         "nearest_within": f"""{pair("tee", "hole")} SELECT tee, hole, round(d2, 9) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY tee ORDER BY d2, hole) AS k FROM pr WHERE d2 < CAST(0.015 AS DOUBLE) * CAST(0.015 AS DOUBLE)) WHERE k = 1""",
-        "self_crossings": f"""WITH p AS (SELECT o_orderkey AS id, (o_orderkey * 15485863 % 1000000)::DOUBLE AS x0, (o_orderkey * 32452843 % 1000000)::DOUBLE AS y0 FROM orders WHERE o_orderkey % 12 = 5),
-s AS (SELECT *, x0 + (id * 7919 % 20001 - 10000) AS x1, y0 + (id * 104729 % 20001 - 10000) AS y1 FROM p)
-SELECT m.id AS a, n.id AS b FROM s m JOIN s n ON m.id < n.id AND abs(m.x0 - n.x0) <= 20000 AND abs(m.y0 - n.y0) <= 20000 WHERE {apart("m", "n")} AND {apart("n", "m")}""",
+        "self_crossings": f"""WITH p AS (SELECT o_orderkey AS id, ((o_orderkey % 100003) * (o_orderkey % 100019) % 1000003)::DOUBLE AS x0, ((o_orderkey % 100043) * (o_orderkey % 100049) % 1000003)::DOUBLE AS y0 FROM orders),
+s AS (SELECT *, x0 + (id * 7919 % 6001 - 3000) AS x1, y0 + (id * 104729 % 6001 - 3000) AS y1 FROM p)
+SELECT m.id AS a, n.id AS b FROM s m JOIN s n ON m.id < n.id AND abs(m.x0 - n.x0) <= 6000 AND abs(m.y0 - n.y0) <= 6000 WHERE {apart("m", "n")} AND {apart("n", "m")}""",
         "spatial_semi_clip": f"""WITH {assign.removeprefix("WITH ").split("p AS (")[0].rstrip().rstrip(",")}
 SELECT feat FROM feats f WHERE EXISTS (SELECT 1 FROM boxes b WHERE boxed AND f.lon BETWEEN b.lon - CAST(0.02 AS DOUBLE) - CAST(0.0004 AS DOUBLE) AND b.lon + CAST(0.02 AS DOUBLE) + CAST(0.0004 AS DOUBLE)
   AND f.lat BETWEEN b.lat - CAST(0.02 AS DOUBLE) - CAST(0.0004 AS DOUBLE) AND b.lat + CAST(0.02 AS DOUBLE) + CAST(0.0004 AS DOUBLE))""",
         "name_jaccard": f"""SELECT p_partkey, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) ELSE 0 END, 6) AS score
 FROM (SELECT p_partkey, {words("p_name")} AS x, {words("concat_ws(' ', p_type, p_brand, 'golf part')")} AS y FROM part)""",
-        "hit_score_topk": f"SELECT s_suppkey, round(CASE WHEN contains(lower(s_name), '{QUERY}') THEN 4.0::DOUBLE ELSE 0 END + {found}, 6) AS score FROM supplier ORDER BY 2 DESC, 1 LIMIT 40",
-        "params_hash": "SELECT o_orderkey, substr(sha256('customer=' || o_custkey || '&status=' || url_encode(o_orderstatus)), 1, 24) AS key FROM orders",
+        "hit_score_topk": f"""SELECT s_suppkey, round(CASE WHEN contains(lower(s_name), '{QUERY}') THEN 4.0::DOUBLE ELSE 0 END + CASE WHEN contains(course, '{QUERY}') THEN 3.0::DOUBLE ELSE 0 END + {found}
+  + CASE WHEN s_suppkey % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN s_suppkey % 4 IN (0, 1) THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE greatest(0.0, 2.0 - (s_suppkey % 37)::DOUBLE / 2.0 / 5.0) END, 6) AS score
+FROM (SELECT *, 'the course ' || lpad((s_suppkey % 7)::VARCHAR, 2, '0') AS course FROM supplier) ORDER BY 2 DESC, 1 LIMIT 40""",
+        "params_hash": "SELECT o_orderkey, substr(sha256('clubs/search?customer=' || o_custkey || '&status=' || url_encode(o_orderstatus)), 1, 24) AS key FROM orders",
         "ring_compactness": """SELECT p_partkey, round(w * h, 6) AS area, round(2 * (w + h), 6) AS perimeter, round(4 * pi() * w * h / (2 * (w + h)) ** 2, 6) AS compactness
 FROM (SELECT p_partkey, p_size::DOUBLE AS w, (p_partkey % 7 + 1)::DOUBLE AS h FROM part)""",
-        "chip_windows": "SELECT DISTINCT p_partkey, unnest(list_append(generate_series(0, p_size * 97, 384), p_size * 97))::BIGINT AS start FROM part",
+        "chip_windows": """WITH i AS (SELECT p_partkey, p_size * 97 AS h, p_partkey % 11 * 211 AS w FROM part WHERE p_size > 0 AND p_partkey % 11 > 0),
+y AS (SELECT DISTINCT p_partkey, unnest(list_append(generate_series(0, greatest(h - 512, 0), 384), greatest(h - 512, 0)))::BIGINT AS y FROM i), x AS (SELECT DISTINCT p_partkey, unnest(list_append(generate_series(0, greatest(w - 512, 0), 384), greatest(w - 512, 0)))::BIGINT AS x FROM i)
+SELECT p_partkey, y, x FROM y JOIN x USING (p_partkey)""",
         "label_paint": f"SELECT [{paint}][top + 1] AS class, count(*) AS pixels FROM (SELECT max(l_partkey % {len(PAINT)}) AS top FROM lineitem GROUP BY l_orderkey) GROUP BY 1",
         "scorecard_lookup": f"SELECT hole, [{pars}][hole] AS par, [{pars}][(hole - 1) % 9 + 1] AS wrapped, n FROM (SELECT (l_partkey % 27 + 1)::INT AS hole, count(*) AS n FROM lineitem GROUP BY 1)",
         "bounds_mean": f"WITH {FEATURES_SQL} SELECT {layer} AS layer, " + ", ".join(f"round({g}({c}), 6) AS {n}_{c}" for n, g in (("min", "min"), ("max", "max"), ("mean", "avg")) for c in ("lon", "lat")) + " FROM feats GROUP BY 1",

@@ -15,8 +15,12 @@ def _degrees(key: str, factor: int, span: int, start: float) -> Column:
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """site, lon, lat and for every third site a box (west, south, east, north)."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), F.col("s_name").alias("name"), _degrees("s_suppkey", 7919, 1000, -9.5).alias("lon"), _degrees("s_suppkey", 104729, 1000, 38.0).alias("lat"))
+    """site, name (empty for some), tags for its holes and kind, lon, lat and for every third site a box (west, south, east, north)."""
+    key = F.col("s_suppkey")
+    named = F.when(key % 17 == 0, " ").otherwise(F.col("s_name"))
+    holes = F.when(key % 11 == 0, "9").when(key % 11 == 1, "18.0").when(key % 11 == 2, "many")
+    kind = F.when(key % 13 == 0, "links; par_3")
+    s = table(spark, sf_dir, "supplier").select(key.alias("site"), named.alias("name"), holes.alias("holes"), kind.alias("golf"), _degrees("s_suppkey", 7919, 1000, -9.5).alias("lon"), _degrees("s_suppkey", 104729, 1000, 38.0).alias("lat"))
     boxed = F.col("site") % 3 == 0
     return s.withColumns({k: F.when(boxed, F.col(c) + F.lit(d)) for k, c, d in (("west", "lon", -0.02), ("south", "lat", -0.02), ("east", "lon", 0.02), ("north", "lat", 0.02))})
 
@@ -37,7 +41,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SITES_SQL = """sites AS (SELECT s_suppkey AS site, s_name AS name, CAST(-9.5 AS DOUBLE) + CAST(s_suppkey * 7919 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS lon,
+SITES_SQL = """sites AS (SELECT s_suppkey AS site, CASE WHEN s_suppkey % 17 = 0 THEN ' ' ELSE s_name END AS name,
+  CASE s_suppkey % 11 WHEN 0 THEN '9' WHEN 1 THEN '18.0' WHEN 2 THEN 'many' END AS holes, CASE WHEN s_suppkey % 13 = 0 THEN 'links; par_3' END AS kind, CAST(-9.5 AS DOUBLE) + CAST(s_suppkey * 7919 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS lon,
   CAST(38 AS DOUBLE) + CAST(s_suppkey * 104729 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS lat FROM supplier),
 boxes AS (SELECT *, site % 3 = 0 AS boxed FROM sites)"""
 FEATURES_SQL = """feats AS (SELECT o_orderkey AS feat, CAST(-9.5 AS DOUBLE) + CAST(o_orderkey * 15485863 % 1000000 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lon,
