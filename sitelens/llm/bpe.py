@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch_dir, table
 from .words import UNSURE, Cache, byte_level, classes, gather, lay, odd_rows, parts
 
-LEXICON, CACHE, LONGEST = 100_000, 600_000, 64
+LEXICON, CACHE, LONGEST = 100_000, 400_000, 64
 
 
 def compile_lexicon(words: list[bytes]) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,9 +176,15 @@ def share_file(spark: SparkSession, raw: bytes, name: str) -> str:
     return name
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _cache(path: str) -> Cache:
+    """Words outside the automaton: alike for all automata, so a worker keeps one."""
+    return Cache(lambda words: _encode_words(path, words), CACHE)
+
+
+@lru_cache(maxsize=1)
 def _worker(path: str, name: str) -> tuple:
-    """What a Python worker keeps between its tasks."""
+    """What a Python worker keeps between its tasks; an earlier query's automaton goes."""
     library = _library(path)
     added = [t.content for t in library.get_added_tokens_decoder().values()]
     # a byte-level piece spells its bytes with one printable character each
@@ -190,7 +196,7 @@ def _worker(path: str, name: str) -> tuple:
     spellings = [b"%d," % i for i in range(len(pieces))]
     flat = [(np.array([len(x) for x in xs]), np.frombuffer(b"".join(xs), np.uint8)) for xs in (pieces, spellings)]
     tables = [(n, np.cumsum(n) - n, data) for n, data in flat]
-    return library, added, Lexicon(SparkFiles.get(name)), Cache(lambda words: _encode_words(path, words), CACHE), tables
+    return library, added, Lexicon(SparkFiles.get(name)), _cache(path), tables
 
 
 def encode(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:

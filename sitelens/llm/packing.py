@@ -34,7 +34,7 @@ SENTENCE_PENALTY, WORD_PENALTY = 2, 6
 STEP = 32
 #: Boundaries are placed once a stream holds so many tokens: the programme's memory.
 STREAM = 64 * LENGTH
-CACHE = 600_000
+CACHE = 400_000
 
 
 @lru_cache(maxsize=1)

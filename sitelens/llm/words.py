@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 OTHER, LETTER, NUMBER, SPACE, UNSURE = 0, 1, 2, 3, 4
 #: Texts are cut together until they hold so many bytes; a longer one is cut alone.
-PART = 4 << 20
+PART = 2 << 20
 _QUOTE = ord("'")
 
 
