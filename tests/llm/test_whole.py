@@ -183,3 +183,25 @@ def test_line_runs_match_brute_force(spark):
                     if sum(len(x.split()) for _, x in mine[i : i + k]) >= 50:
                         gone |= set(range(mine[i][0], mine[i + k - 1][0] + 1))
         assert got[d] == "\n".join(x for p, x in enumerate(docs[d].split("\n")) if p not in gone)
+
+
+def test_broken_markup_and_lists(spark):
+    nested = "<article><ul><li class='sidebar'><ul><li>away</li><li>away too</li></ul>still away</li><li>one<ul class='menu'><li>menu</li></ul></li><li>two<li>three</ul><p>text</p></article>"
+    stray = "<body><div title=don't>it's <b class=x'y>all</b> here</div></body>"
+    headed = "<body><header>page</header><article><header><h1>Title</h1><p>by line</p></header><p>text of it</p></article></body>"
+    pages = [(f"http://n{k}/", p) for k, p in enumerate((nested, stray, headed))]
+    assert _texts(spark, pages) == ["one\ntwo\nthree\ntext", "it's all here", "Title\ntext of it"]
+
+
+def test_slots_are_what_differs():
+    """Constant blocks go, as a plain reading without wrapper would keep them; equal pages and pages of mostly equal text lose nothing."""
+    page = "<body><div class='top'>menu of all</div><div class='body'><h2>Part</h2><p>{0} is the first text of this page and long enough, as texts of pages are, for what all pages say to be little</p><p>Read more at our house</p><p>{0} ends</p></div></body>"
+    pages = [page.format(w) for w in ("alpha", "beta", "gamma", "delta", "eps")]
+    made = wrappers.infer(pages)
+    want = "Part\n{0} is the first text of this page and long enough, as texts of pages are, for what all pages say to be little\n{0} ends"
+    for w in ("alpha", "zeta"):
+        assert wrappers.extract(page.format(w), made) == want.format(w) != wrappers.extract(page.format(w), "")
+    same = wrappers.infer([pages[0]] * 6)
+    assert "Read more at our house" in wrappers.extract(pages[0], same)
+    short = "<body><div class='body'><p>a long text that all pages of this host have in common</p><p>{0}</p></div></body>"
+    assert "in common" in wrappers.extract(short.format(1), wrappers.infer([short.format(k) for k in range(6)]))
