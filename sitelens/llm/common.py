@@ -31,7 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends in replicated files, not in executors' memory."""
     path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
