@@ -8,9 +8,12 @@ blocks that meet pairwise, so no task holds a whole hot list, and blocks give co
 Recall against brute force for unrelated directions (measured, 256 pivots, heads of 7, 2 shared): 0.99 at cosine 0.9, over
 0.997 from 0.93. Pivots are a bounded sample (PIVOTS rows by hash order, mutually below the threshold).
 
-Defined results: rows with null, zero or non-finite vectors, null ids or an odd length link with nothing and are their own
-component; equal vectors are linked to each other; repeated rows count as further vectors; a null vec_id gives a null component
-that is not kept; an empty table gives an empty result; other columns are ignored.
+Vectors link with those of their own length only; the pivots of the most frequent length come from the sample, those of others are
+drawn at random from a seed that is the length.
+
+Defined results: rows with null, zero or non-finite vectors or null ids link with nothing and are their own component; equal vectors
+are linked to each other; repeated rows count as further vectors; different vectors of one vec_id have counts of their own and one
+component; a null vec_id gives a null component that is not kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected, materialize, table
-from .vectors import groups, matrix, usable
+from .vectors import finite, groups
 
 PIVOTS, HEAD, SHARED, BLOCK, SAMPLE = 256, 7, 2, 1024, 4096
 
@@ -58,11 +62,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     """One row per row of df: vec_id, n_links, component_id, kept."""
     every = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     key = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(3), "v").alias("k2")]
-    members = usable(df, id_col, vec_col).select("vec_id", *key, "v")
+    members = finite(df, id_col, vec_col).select("vec_id", *key, "v")
     classes = materialize(members.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
-    total = classes.count()
+    dims = classes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    main, total = (dims[0].d, dims[0]["count"]) if dims else (0, 0)
     cut = int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
-    sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) <= cut).select("rep", "v").collect()
+    sample = classes.where(F.size("v") == main).where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) <= cut).select("rep", "v").collect()
     x = np.array([r.v for r in sorted(sample, key=lambda r: r.rep)], float)
     x = x / np.abs(x).max(axis=1, keepdims=True) if x.size else x
     x = x / np.linalg.norm(x, axis=1, keepdims=True) if x.size else x
@@ -72,29 +77,35 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
         for b in batches:
             if not b.num_rows:
                 continue
-            v = matrix(b.column(2))
-            u = v / np.abs(v).max(axis=1, keepdims=True)
-            u /= np.linalg.norm(u, axis=1, keepdims=True)
-            heads = np.sort(np.argsort(-(u @ ref.T), axis=1, kind="stable")[:, :head], axis=1)
-            sets = np.array(list(combinations(range(min(head, heads.shape[1])), SHARED)))
-            lists = (heads[:, sets[:, 0]] * pivots + heads[:, sets[:, 1]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([r.tobytes() for r in u], pa.binary()), pa.array(heads.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(lists.tolist(), pa.list_(pa.int64()))],
-                ["rep", "n", "u", "head", "lists"],
-            )
-
-    described = materialize(classes.select("rep", "n", "v").mapInArrow(describe, "rep long, n long, u binary, head array<int>, lists array<long>"), "described")
-    rows = described.select(F.explode("lists").alias("list"), "rep", "n", "u", "head")
-    # At most PIVOTS^2 lists, so these counts are bounded by the model, not by the data.
+            size = pc.list_value_length(b.column(2)).to_numpy()
+            for d in np.unique(size).tolist():
+                part = b.filter(pa.array(size == d))
+                v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                own = ref if d == main else np.random.default_rng(d).normal(size=(pivots, d))
+                u = v / np.abs(v).max(axis=1, keepdims=True)
+                u /= np.linalg.norm(u, axis=1, keepdims=True)
+                heads = np.sort(np.argsort(-(u @ own.T), axis=1, kind="stable")[:, :head], axis=1)
+                sets = np.array(list(combinations(range(min(head, heads.shape[1])), SHARED)))
+                lists = (heads[:, sets[:, 0]] * pivots + heads[:, sets[:, 1]]).astype(np.int64) + d * pivots * pivots
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("rep", "k1", "n")), pa.array([r.tobytes() for r in u], pa.binary()), pa.array(heads.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(lists.tolist(), pa.list_(pa.int64()))],
+                    ["rep", "k1", "n", "u", "head", "lists"],
+                )
+
+    described = materialize(classes.select("rep", "n", "v", "k1").mapInArrow(describe, "rep long, k1 long, n long, u binary, head array<int>, lists array<long>"), "described")
+    rows = described.select(F.explode("lists").alias("list"), "rep", "k1", "n", "u", "head")
+    # At most PIVOTS^2 lists for each length of vectors: bounded by the model unless lengths are very many
     sizes = rows.groupBy("list").count().where("count > 1").select("list", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(sizes), "list").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "rep"), F.col("blocks")).cast("int"))
+    sizes = materialize(sizes, "sizes")
+    small = sizes.count() <= 4 * pivots * pivots
+    rows = rows.join(F.broadcast(sizes) if small else sizes, "list").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "k1"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "rep", "n", "u", "head", "own")
+    rows = rows.select("list", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "rep", "k1", "n", "u", "head", "own")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lst, lo, hi), parts in groups(batches, 3):
             t = pa.Table.from_batches(parts).combine_chunks()
-            ids, n, own = (t.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "own"))
+            ids, key, n, own = (t.column(c).to_numpy().astype(np.int64) for c in ("rep", "k1", "n", "own"))
             u = np.frombuffer(b"".join(t.column("u").to_pylist()), np.float64).reshape(len(ids), -1)
             has = np.zeros((len(ids), pivots), np.float32)
             has[np.arange(len(ids))[:, None], np.array(t.column("head").to_pylist())] = 1
@@ -108,14 +119,17 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
             if not near.any():
                 continue
             la, lb = _local_labels(near, ids[i], ids[j])
-            out = [(ids[i], near @ n[j], la)] + ([] if lo == hi else [(ids[j], near.T @ n[i], lb)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["rep", "links", "low"])
+            out = [(ids[i], key[i], near @ n[j], la)] + ([] if lo == hi else [(ids[j], key[j], near.T @ n[i], lb)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["rep", "k1", "links", "low"])
 
-    found = rows.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "rep").mapInArrow(verify, "rep long, links long, low long")
+    found = rows.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "rep").mapInArrow(verify, "rep long, k1 long, links long, low long")
     found = materialize(found.where("links > 0 OR low <> rep"), "found")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected(found.select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
-    per_class = classes.select("k1", "k2", "rep", "n").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    counts = found.groupBy("rep", "k1").agg(F.sum("links").alias("links"))
+    same = members.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    repeated = members.groupBy("vec_id").agg(F.count_distinct("k1", "k2").alias("c")).where("c > 1").select("vec_id")
+    odd = same.join(repeated, same.a == repeated.vec_id, "left_semi")
+    parts = connected(found.select(F.col("rep").alias("a"), F.col("low").alias("b")).unionByName(odd).distinct())
+    per_class = classes.select("k1", "k2", "rep", "n").join(counts, ["rep", "k1"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     # classes holds no unusable vector, so those rows find none here; an unusable id must not borrow its vector's class
     joined = every.select("vec_id", F.when(F.col("vec_id").isNotNull(), key[0]).alias("k1"), key[1]).join(per_class, ["k1", "k2"], "left")

@@ -205,3 +205,33 @@ def test_slots_are_what_differs():
     assert "Read more at our house" in wrappers.extract(pages[0], same)
     short = "<body><div class='body'><p>a long text that all pages of this host have in common</p><p>{0}</p></div></body>"
     assert "in common" in wrappers.extract(short.format(1), wrappers.infer([short.format(k) for k in range(6)]))
+
+
+def test_near_vectors_of_all_lengths_and_repeated_ids(spark):
+    """Planted pairs near and at the threshold, vectors of rarer lengths, one vec_id with two vectors, ties, columns that clash."""
+    from sitelens.llm import pivot_index
+
+    rng = np.random.default_rng(11)
+    v = [x for x in rng.normal(size=(700, 32))]
+    for k in range(200):  # cosines from 0.9 up
+        u = rng.normal(size=32)
+        u -= (u @ v[k]) / (v[k] @ v[k]) * v[k]
+        c = 0.9005 + 0.0995 * k / 200
+        v.append(c * v[k] / np.linalg.norm(v[k]) + np.sqrt(1 - c * c) * u / np.linalg.norm(u))
+    v += [np.array([1.0, 2.0, 3.0]), np.array([2.0, 4.0, 6.0]), np.array([0.0, 0.0, 1.0]), v[0] * 2, v[0]]
+    ids = [*range(len(v) - 1), 5]  # the last one shares an id with another vector
+    rows = [(i, x.tolist(), "r", 1) for i, x in zip(ids, v, strict=True)] + [(None, v[0].tolist(), "r", 1), (9000, None, "r", 1)]
+    got = pivot_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep string, n int"))
+    got = got.collect()
+    links = [sum(len(x) == len(y) and x @ y >= 0.9 * np.linalg.norm(x) * np.linalg.norm(y) for j, y in enumerate(v) if j != i) for i, x in enumerate(v)]
+    found = {}
+    for r in got:
+        found.setdefault(r.vec_id, []).append(r.n_links)
+    assert sum(sum(x) for x in found.values()) >= 0.98 * sum(links)
+    want = {}
+    for i, n in zip(ids, links, strict=True):
+        want.setdefault(i, []).append(n)
+    assert all(a <= b for i in want for a, b in zip(sorted(found[i]), sorted(want[i]), strict=True))
+    assert sorted(found[5]) == sorted(want[5]) and found[900] == found[901] == [1] and found[902] == [0] and found[None] == found[9000] == [0]
+    parts = {r.vec_id: r.component_id for r in got}
+    assert parts[901] == parts[900] == 900 and parts[5] == parts[0] == parts[903] == 0 and parts[None] is None
