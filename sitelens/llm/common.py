@@ -28,9 +28,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    """The tables that this process has written and not dropped, in order."""
+    return list(_written)
+
+
+def drop_written(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables, once nothing reads them any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends in replicated files, not in executors' memory."""
     path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -235,3 +235,12 @@ def test_near_vectors_of_all_lengths_and_repeated_ids(spark):
     assert sorted(found[5]) == sorted(want[5]) and found[900] == found[901] == [1] and found[902] == [0] and found[None] == found[9000] == [0]
     parts = {r.vec_id: r.component_id for r in got}
     assert parts[901] == parts[900] == 900 and parts[5] == parts[0] == parts[903] == 0 and parts[None] is None
+
+
+def test_pipeline_leaves_one_table(spark):
+    import corpus_pipeline
+    from sitelens.llm import common
+
+    before = common.written()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(common.written()) == len(before) + 1 and out.count() > 0 and out.columns[:3] == ["doc_id", "start", "length"]
