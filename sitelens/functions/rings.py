@@ -11,8 +11,13 @@ def _edges(ring: Column) -> Column:
     return F.arrays_zip(ring.alias("a"), turned.alias("b"))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def area(ring: Column) -> Column:
-    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e.a.x * e.b.y - e.b.x * e.a.y)) / 2
+    return F.abs(signed_area(ring))
 
 
 def perimeter(ring: Column) -> Column:
@@ -26,7 +31,7 @@ def compactness(ring: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
-    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e.a.x * e.b.y - e.b.x * e.a.y) / 2
+    return once(ring, lambda r: F.aggregate(_edges(r), F.lit(0.0), lambda s, e: s + e.a.x * e.b.y - e.b.x * e.a.y)) / 2
 
 
 def centroid(ring: Column) -> Column:
@@ -50,11 +55,14 @@ def clip(ring: Column, convex: Column) -> Column:
 
     def by_edge(held: Column, e: Column) -> Column:
         def pieces(s: Column) -> Column:
-            a, b = side(e, s.a), side(e, s.b)
-            t = a / (a - b)
-            cross = F.array(F.struct((s.a.x + t * (s.b.x - s.a.x)).alias("x"), (s.a.y + t * (s.b.y - s.a.y)).alias("y")))
-            end, none = F.array(s.b), F.slice(F.array(s.b), 1, 0)
-            return F.when((a >= 0) & (b >= 0), end).when((a >= 0) & (b < 0), cross).when((a < 0) & (b >= 0), F.concat(cross, end)).otherwise(none)
+            def cut(at: Column) -> Column:
+                a, b = at.a, at.b
+                t = a / (a - b)
+                cross = F.array(F.struct((s.a.x + t * (s.b.x - s.a.x)).alias("x"), (s.a.y + t * (s.b.y - s.a.y)).alias("y")))
+                end, none = F.array(s.b), F.slice(F.array(s.b), 1, 0)
+                return F.when((a >= 0) & (b >= 0), end).when((a >= 0) & (b < 0), cross).when((a < 0) & (b >= 0), F.concat(cross, end)).otherwise(none)
+
+            return once(F.struct(side(e, s.a).alias("a"), side(e, s.b).alias("b")), cut)
 
         return F.flatten(F.transform(_edges(held), pieces))
 
@@ -67,10 +75,14 @@ def overlap(ring: Column, convex: Column) -> Column:
 
 
 def iou(ring: Column, convex: Column) -> Column:
-    both = overlap(ring, convex)
-    either = area(ring) + area(convex) - both
-    return F.when(either > 0, both / either).otherwise(0.0)
+    return once(F.struct(overlap(ring, convex).alias("both"), (area(ring) + area(convex)).alias("sum")), lambda s: F.when(s["sum"] > s["both"], s["both"] / (s["sum"] - s["both"])).otherwise(0.0))
 
 
 def box(w: Column, s: Column, e: Column, n: Column) -> Column:
     return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((w, s), (e, s), (e, n), (w, n))])
+
+
+def contains(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies within a ring, by the parity of the edges that a ray to the east meets."""
+    crosses = lambda e: ((e.a.y > y) != (e.b.y > y)) & (x < (e.b.x - e.a.x) * (y - e.a.y) / (e.b.y - e.a.y) + e.a.x)
+    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1

@@ -174,13 +174,18 @@ def polygon_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", *[F.round(x, 6).alias(n) for n, x in cols.items()])
 
 
+def _squares_meet(half: float) -> Column:
+    """Cheap test of two squares' extents before rings are clipped."""
+    return (F.abs(F.col("lon") - F.col("rlon")) < 2 * half) & (F.abs(F.col("lat") - F.col("rlat")) < 2 * half)
+
+
 def overlay_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greens of a site less its bunkers' squares that meet them: area that is left in square metres of a degree, of greens that lose some."""
     half = 0.02
     square = lambda x, y: rings.box(x - half, y - half, x + half, y + half)
     g = _of_site(spark, sf_dir, "green")
     b = _of_site(spark, sf_dir, "bunker").select("site", F.col("feat").alias("bunker"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
-    pairs = spatial.near(g, b, 2 * half * 1.5, ["site"])
+    pairs = spatial.near(g, b, 2 * half * 1.5, ["site"]).where(_squares_meet(half))
     cut = rings.overlap(square(F.col("lon"), F.col("lat")), square(F.col("rlon"), F.col("rlat"))) * (DEGREE * DEGREE)
     return pairs.select("feat", "bunker", F.round(cut, 0).cast("long").alias("lost")).where("lost > 0")
 
@@ -189,7 +194,7 @@ def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New squares of a site in their order, kept unless one kept before shares 0.08 or more of their union."""
     half = 0.02
     f = _of_site(spark, sf_dir, "rough")
-    pairs = spatial.near(f, f.select("site", F.col("feat").alias("other"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat")), half * 3, ["site"]).where("feat < other")
+    pairs = spatial.near(f, f.select("site", F.col("feat").alias("other"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat")), half * 3, ["site"]).where(F.col("feat") < F.col("other")).where(_squares_meet(half))
     square = lambda x, y: rings.box(x - half, y - half, x + half, y + half)
     share = rings.iou(square(F.col("lon"), F.col("lat")), square(F.col("rlon"), F.col("rlat")))
     conflicts = pairs.where(share >= 0.08).select(F.col("feat").alias("a"), F.col("other").alias("b"))
