@@ -49,3 +49,11 @@ def track(points: Column, name: Column) -> Column:
     """A line as a GPX track."""
     dots = F.array_join(F.transform(points, lambda p: F.concat(F.lit('<trkpt lon="'), _number(p.x), F.lit('" lat="'), _number(p.y), F.lit('"></trkpt>'))), "")
     return F.concat(F.lit("<trk><name>"), _escaped(name), F.lit("</name><trkseg>"), dots, F.lit("</trkseg></trk>"))
+
+
+def dxf(kind: Column, points: Column, layer: Column) -> Column:
+    """One feature as lines of a DXF entity: polygons as closed polylines, lines as open ones, points; NULL for other kinds."""
+    vertices = _joined(kind, points, "\n", lambda p: F.concat(F.lit("10\n"), _number(p.x), F.lit("\n20\n"), _number(p.y)))
+    head = lambda name: F.concat(F.lit(f"0\n{name}\n8\n"), layer, F.lit("\n"))
+    line = F.concat(head("LWPOLYLINE"), F.lit("90\n"), F.size(_closed(kind, points)), F.lit("\n70\n"), F.when(kind == "Polygon", "1").otherwise("0"), F.lit("\n"), vertices)
+    return F.when(kind.isin("Polygon", "LineString"), line).when(kind == "Point", F.concat(head("POINT"), vertices, F.lit("\n30\n0.0")))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitelens.functions import rings
+
 # Metres of a degree, greatest latitude of the web map, tiles of one mosaic.
 METRES, TOP, MOSAIC = 111_320.0, 85.05112878, 400
 
@@ -87,3 +89,56 @@ def fit_zoom(box: Box, greatest: int = 18, least: int = 12) -> Column:
         fits = (F.abs(x1 - x0) + 1) * (F.abs(y1 - y0) + 1) <= MOSAIC
         out = F.when(fits, zoom).otherwise(out) if zoom > least else out
     return out
+
+
+# The WGS84 ellipsoid's radius and flattening.
+RADIUS, FLAT = 6_378_137.0, 1 / 298.257223563
+
+
+def ellipsoid_area(ring: Column) -> Column:
+    """Square metres of a ring of (x: longitude, y: latitude) on the ellipsoid, edges straight in longitude and authalic latitude."""
+    e = math.sqrt(FLAT * (2 - FLAT))
+
+    def q(lat: Column) -> Column:
+        s = F.sin(F.radians(lat))
+        return (F.lit(1 - e * e)) * (s / (F.lit(1.0) - s * s * (e * e)) - F.lit(1 / (2 * e)) * F.log((F.lit(1.0) - s * e) / (F.lit(1.0) + s * e)))
+
+    def flat(corners: Column) -> Column:
+        # from the first corner on, so that nothing large cancels
+        at = F.element_at(corners, 1)
+        return F.transform(corners, lambda p: F.struct((p.x - at.x).alias("x"), (p.y - at.y).alias("y")))
+
+    even = rings.once(F.transform(ring, lambda p: F.struct(F.radians(p.x).alias("x"), q(p.y).alias("y"))), flat)
+    return rings.area(even) * (RADIUS * RADIUS / 2)
+
+
+def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Metres of the web map."""
+    return F.radians(lon) * RADIUS, F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * RADIUS
+
+
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.degrees(x / RADIUS), F.degrees(F.atan(F.exp(y / RADIUS)) * 2 - math.pi / 2)
+
+
+def pad_box(box: Box, metres: float) -> Box:
+    """The box of what lies within metres of the web map around a shape with the given box."""
+    w, s, e, n = box
+    (x0, y0), (x1, y1) = mercator(w, s), mercator(e, n)
+    return (*from_mercator(x0 - metres, y0 - metres), *from_mercator(x1 + metres, y1 + metres))
+
+
+def capsule(ax: Column, ay: Column, bx: Column, by: Column, metres: float, quarter: int = 16) -> Column:
+    """Ring of what lies within metres of the web map of the segment from a to b, arcs of quarter chords a quarter; a circle where a is b."""
+    (x0, y0), (x1, y1) = mercator(ax, ay), mercator(bx, by)
+    way = F.atan2(y1 - y0, x1 - x0)
+
+    def arc(x: Column, y: Column, start: float) -> Column:
+        def at(k: Column) -> Column:
+            turn = way + F.lit(start) + k * (math.pi / 2 / quarter)
+            lon, lat = from_mercator(x + F.cos(turn) * metres, y + F.sin(turn) * metres)
+            return F.struct(lon.alias("x"), lat.alias("y"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(2 * quarter)), at)
+
+    return F.concat(arc(x1, y1, -math.pi / 2), arc(x0, y0, math.pi / 2))
