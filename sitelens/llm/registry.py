@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, forest, jaccard, lines, packing, pivot_index, quality, secrets, substrings, wrappers
+from . import bpe, copies, forest, jaccard, lines, packing, pivot_index, quality, runs, secrets, substrings, whitening, wrappers
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -23,9 +23,12 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         substrings.op8_suffix_array_dedup,
         lines.op9_line_dedup,
         forest.op10_approximate_nearest_neighbours,
+        whitening.op11_embedding_whitening,
+        copies.op12_exact_dedup,
+        runs.op13_periodic_runs,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": lines.ORACLE}
+    return {"op9_line_dedup": lines.ORACLE, "op12_exact_dedup": copies.ORACLE}
