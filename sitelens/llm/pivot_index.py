@@ -1,12 +1,15 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Every distinct vector is described by its nearest reference points (the head of its permutation of PIVOTS pivots). Inverted
-lists are kept for sets of SHARED pivots: two vectors meet in a list exactly when their heads share at least SHARED pivots. A
-pair is verified in the first list that it shares only, by cosine in double precision. Lists longer than BLOCK rows are split into
-blocks that meet pairwise, so no task holds a whole hot list, and blocks give counts and local classes, never rows of pairs.
+Every distinct vector is described by its nearest reference points (the head of its permutation of PIVOTS pivots), seen from the
+sample's mean, since vectors that lie to one side of the origin all have the same pivots ahead. Inverted lists are kept for sets of
+pivots: two vectors meet in a list exactly when their heads share at least that many. A pair is verified in the first list that it
+shares only, by cosine of the original vectors in double precision. Lists longer than BLOCK rows are split into blocks that meet
+pairwise, so no task holds a whole hot list, and blocks give counts and local classes, never rows of pairs.
 
-Recall against brute force for unrelated directions (measured, 256 pivots, heads of 7, 2 shared): 0.99 at cosine 0.9, over
-0.997 from 0.93. Pivots are a bounded sample (PIVOTS rows by hash order, mutually below the threshold).
+How long heads are and how many pivots a pair must share is the first step of LADDER with a recall of RECALL on the sample (at most
+SAMPLE rows): on its own pairs at the threshold or over, and on pairs made of a row and its turn towards another one, just over the
+threshold. Where vectors lie so far off the origin that no step finds enough (then a great part of all pairs links), there is one
+list, so all blocks meet. Pivots are a bounded sample too (PIVOTS rows, mutually below the threshold).
 
 Vectors link with those of their own length only; the pivots of the most frequent length come from the sample, those of others are
 drawn at random from a seed that is the length.
@@ -30,11 +33,13 @@ from pyspark.sql import functions as F
 from .common import connected, materialize, table
 from .vectors import finite, groups
 
-PIVOTS, HEAD, SHARED, BLOCK, SAMPLE = 256, 7, 2, 1024, 4096
+PIVOTS, BLOCK, SAMPLE, RECALL = 256, 1024, 4096, 0.95
+#: (pivots that a pair must share, length of heads), from the fewest comparisons to the most; (0, 1) is one list of all.
+LADDER = ((2, 7), (2, 10), (1, 12), (1, 20), (1, 32), (0, 1))
 
 
 def choose_pivots(rows: np.ndarray, count: int, apart: float) -> np.ndarray:
-    """Greedily the first rows whose cosine with all chosen is below apart; at least HEAD of them, filled up at random."""
+    """Greedily the first rows whose cosine with all chosen is below apart, filled up at random."""
     chosen = np.zeros((0, rows.shape[1] if rows.ndim == 2 else 0))
     for r in rows:
         if len(chosen) >= count:
@@ -47,6 +52,46 @@ def choose_pivots(rows: np.ndarray, count: int, apart: float) -> np.ndarray:
     return chosen
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1.0)
+
+
+def _heads(u: np.ndarray, mean: np.ndarray | float, ref: np.ndarray, head: int) -> np.ndarray:
+    """The nearest pivots of unit vectors, seen from the mean, nearest first."""
+    return np.argsort(-(_unit(u - mean) @ ref.T), axis=1, kind="stable")[:, :head]
+
+
+def choose_step(u: np.ndarray, mean: np.ndarray, ref: np.ndarray, threshold: float, ladder: tuple = LADDER, recall: float = RECALL) -> tuple[int, int]:
+    """The first step of the ladder that finds enough of the sample's pairs, natural and made ones."""
+    if len(u) < 3:
+        return ladder[0]
+    rng = np.random.default_rng(4)
+    i, j = rng.integers(0, len(u), (2, 1024))
+    side = u[j] - u[i]
+    side = _unit(side - (side * u[i]).sum(axis=1, keepdims=True) * u[i])
+    c = threshold + (1 - threshold) * 0.2 * rng.random((len(i), 1))
+    turned = c * u[i] + np.sqrt(1 - c * c) * side
+    own = _heads(u, mean, ref, len(ref))
+    made = own[i], _heads(turned, mean, ref, len(ref)), np.ones(len(i), bool)
+    pairs = [np.zeros((2, 0), np.int64)]
+    for lo in range(0, len(u), 512):
+        a, b = np.nonzero(u[lo : lo + 512] @ u.T >= threshold)
+        keep = a + lo < b
+        pairs.append(np.stack([a[keep] + lo, b[keep]]))
+    natural = np.concatenate(pairs, axis=1)
+    natural = natural[:, rng.permutation(natural.shape[1])[:4096]]
+    checks = [made[:2]] + ([(own[natural[0]], own[natural[1]])] if natural.shape[1] >= 50 else [])
+
+    def found(a: np.ndarray, b: np.ndarray, shared: int, head: int) -> float:
+        has = np.zeros((2, len(a), len(ref)), bool)
+        for k, x in enumerate((a, b)):
+            has[k, np.arange(len(x))[:, None], x[:, :head]] = True
+        return float(((has[0] & has[1]).sum(axis=1) >= shared).mean())
+
+    return next((s for s in ladder if all(found(a, b, *s) >= recall for a, b in checks)), ladder[-1])
+
+
 def _local_labels(near: np.ndarray, ids: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id in each row's and column's component of the bipartite relation near."""
     a, b, top = ids.copy(), other.copy(), np.iinfo(np.int64).max
@@ -58,8 +103,8 @@ def _local_labels(near: np.ndarray, ids: np.ndarray, other: np.ndarray) -> tuple
         a, b = a2, b2
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, head: int = HEAD, block: int = BLOCK) -> DataFrame:
-    """One row per row of df: vec_id, n_links, component_id, kept."""
+def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, step: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """One row per row of df: vec_id, n_links, component_id, kept. A step (pivots shared, length of heads) may be given."""
     every = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     key = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(3), "v").alias("k2")]
     members = finite(df, id_col, vec_col).select("vec_id", *key, "v")
@@ -71,7 +116,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     x = np.array([r.v for r in sorted(sample, key=lambda r: r.rep)], float)
     x = x / np.abs(x).max(axis=1, keepdims=True) if x.size else x
     x = x / np.linalg.norm(x, axis=1, keepdims=True) if x.size else x
-    ref = choose_pivots(np.random.default_rng(2).permutation(x), pivots, threshold)
+    mean = x.mean(axis=0) if x.size else 0.0
+    ref = choose_pivots(np.random.default_rng(2).permutation(_unit(x - mean)), pivots, threshold)
+    shared, head = step or choose_step(x, mean, ref, threshold)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,9 +131,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
                 own = ref if d == main else np.random.default_rng(d).normal(size=(pivots, d))
                 u = v / np.abs(v).max(axis=1, keepdims=True)
                 u /= np.linalg.norm(u, axis=1, keepdims=True)
-                heads = np.sort(np.argsort(-(u @ own.T), axis=1, kind="stable")[:, :head], axis=1)
-                sets = np.array(list(combinations(range(min(head, heads.shape[1])), SHARED)))
-                lists = (heads[:, sets[:, 0]] * pivots + heads[:, sets[:, 1]]).astype(np.int64) + d * pivots * pivots
+                heads = np.sort(_heads(u, mean if d == main else 0.0, own, head), axis=1)
+                sets = np.array(list(combinations(range(heads.shape[1]), shared)), np.int64)
+                lists = np.full((len(u), len(sets)), d * pivots**2, np.int64)
+                for k in range(shared):
+                    lists += heads[:, sets[:, k]] * pivots ** (shared - 1 - k)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("rep", "k1", "n")), pa.array([r.tobytes() for r in u], pa.binary()), pa.array(heads.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(lists.tolist(), pa.list_(pa.int64()))],
                     ["rep", "k1", "n", "u", "head", "lists"],
@@ -111,11 +160,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
             has[np.arange(len(ids))[:, None], np.array(t.column("head").to_pylist())] = 1
             i, j = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
             near = u[i] @ u[j].T >= threshold
-            if near.any():
+            if near.any() and shared:
                 last = int(lst % pivots) + 1
-                near &= has[i, :last] @ has[j, :last].T == SHARED  # this is the first list that the two share
-                if lo == hi:
-                    near &= i[:, None] != j[None, :]
+                near &= has[i, :last] @ has[j, :last].T == shared  # this is the first list that the two share
+            if lo == hi:
+                near &= i[:, None] != j[None, :]
             if not near.any():
                 continue
             la, lb = _local_labels(near, ids[i], ids[j])

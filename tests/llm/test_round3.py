@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.llm import copies, runs, whitening
+from sitelens.llm import copies, pivot_index, runs, whitening
 
 DATA = "/root/testdata/sf0.001"
 
@@ -194,3 +194,33 @@ def test_equal_eigenvalues():
     v = np.diag([5.0] * 5 + [1.0, 1.0, 0.0, 0.0])
     e, u = whitening.leading_pairs(lambda c: v @ c, 9, 6)
     assert np.allclose(e, [5, 5, 5, 5, 5, 1]) and np.allclose(v @ u, u * e)
+
+
+@pytest.mark.parametrize("offset", [0, 1, 2, 3])
+def test_recall_off_centre(spark, offset):
+    """Vectors around a mean of offset times their spread: natural pairs (most of them at offset 3) and planted ones."""
+    rng = np.random.default_rng(offset)
+    x = rng.normal(size=(1500, 64))
+    x[:, 0] += 8 * offset
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    a, u = unit(x[:400]), rng.normal(size=(400, 64))
+    u = unit(u - (u * a).sum(axis=1, keepdims=True) * a)
+    c = 0.9 + 0.1 * rng.random((400, 1)) ** 2
+    x = np.vstack([x, 3 * (c * a + np.sqrt(1 - c * c) * u)])
+    got = pivot_index.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    n = unit(x)
+    links = (n @ n.T >= 0.9).sum(axis=1) - 1
+    found = got.toPandas().set_index("vec_id").n_links.sort_index().to_numpy()
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
+
+
+@pytest.mark.parametrize("step", pivot_index.LADDER)
+def test_every_step_counts_a_pair_once(spark, step):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 16))
+    x = np.vstack([base + 0.1 * rng.normal(size=base.shape) for _ in range(6)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = pivot_index.near_duplicates(df, step=step, block=16).toPandas().set_index("vec_id").n_links.sort_index().to_numpy()
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (n @ n.T >= 0.9).sum(axis=1) - 1
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
