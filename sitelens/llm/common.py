@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The tables that are written inside, in order; those of other threads and of runs around or beside are not among them."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield mine
+    finally:
+        _scope.reset(token)
 
 
 def written() -> list[str]:
@@ -42,12 +57,16 @@ def drop_written(spark: SparkSession, paths: list[str]) -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         _written.remove(path)
+        if (mine := _scope.get()) and path in mine:
+            mine.remove(path)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends in replicated files, not in executors' memory."""
     path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     _written.append(path)
+    if (mine := _scope.get()) is not None:
+        mine.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.llm import copies, pivot_index, runs, whitening
+from sitelens.llm import common, copies, pivot_index, runs, whitening, wrappers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -224,3 +224,62 @@ def test_every_step_counts_a_pair_once(spark, step):
     n = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = (n @ n.T >= 0.9).sum(axis=1) - 1
     assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
+
+
+def test_runs_beside_each_other_keep_their_tables(spark, tmp_path):
+    """A table written by another query while the pipeline runs, and a second run, are left alone."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+
+    with ThreadPoolExecutor(3) as pool:
+        runs_ = [pool.submit(corpus_pipeline.run, spark, DATA) for _ in range(2)]
+        other = [pool.submit(common.materialize, spark.range(k), "other") for k in range(1, 4)]
+        first, second = (sorted(map(tuple, r.result().select("doc_id", "start", "ids_crc32").collect())) for r in runs_)
+        assert [o.result().count() for o in other] == [1, 2, 3] and first == second and first
+
+
+def _page(blocks):
+    return "<body><nav>menu</nav><div id='m'>" + "".join(blocks) + "</div></body>"
+
+
+def test_long_pages_are_aligned_in_near_linear_time():
+    import time
+
+    r = random.Random(1)
+    took = []
+    for n in (1000, 8000):
+        pages = [_page([f"<div class='{r.choice('abcdef')}'><p>{r.choice([f'same on page {k}', 'x%d' % r.randint(0, 9999)])}</p></div>" for _ in range(n + k)]) for k in range(6)]
+        began = time.time()
+        made = wrappers.infer(pages)
+        took.append(time.time() - began)
+        assert all(wrappers.extract(p, made).count("\n") == n + k - 1 for k, p in enumerate(pages))
+    assert took[1] < 30 * took[0]
+
+
+def test_alignments_are_common_subsequences():
+    from difflib import SequenceMatcher
+
+    r = random.Random(3)
+    for trial in range(300):
+        n = r.choice([3, 20, 150])
+        a = [r.randint(0, r.choice([2, 10, 400])) for _ in range(r.randint(0, n))]
+        b = [x for x in a if r.random() < 0.8] if r.random() < 0.5 else [r.randint(0, 9) for _ in range(r.randint(0, n))]
+        b += [r.randint(0, 400) for _ in range(r.randint(0, 5))]
+        found = wrappers.matching_runs(a, b)
+        i = k = 0
+        for x, y, m in found:
+            assert x >= i and y >= k and m > 0 and a[x : x + m] == b[y : y + m]
+            i, k = x + m, y + m
+        if len(a) * len(b) <= wrappers.SMALL and trial % 2:
+            best = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+            assert sum(m for *_, m in found) >= 0.5 * best
+
+
+def test_pages_with_repeats_and_clashes(spark):
+    page = lambda w: f"<body><div class='top'>all of it</div><div class='b'><p>{w} is what this page says, at some length</p><p>and {w} ends it</p></div></body>"
+    rows = [(k, f"http://h/{k}", page(w), "c", 1) for k, w in enumerate(["one", "two", "three", "four"])]
+    rows += [rows[0], (None, None, "", "c", 1), (9, "http://h/9", None, "c", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, shape int")
+    got = wrappers.main_text(df).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter([*((k, f"{w} is what this page says, at some length\nand {w} ends it") for k, w in enumerate(["one", "two", "three", "four"])), (0, "one is what this page says, at some length\nand one ends it"), (None, ""), (9, "")])
