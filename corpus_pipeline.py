@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm.common import drop_written, materialize, table, written
+from sitelens.llm.common import drop_written, materialize, scope, table
 from sitelens.llm.jaccard import keep_one
 from sitelens.llm.lines import drop_lines
 from sitelens.llm.packing import pack_documents
@@ -25,8 +25,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage. When a stage's table is written, the tables that it was made from are deleted."""
     docs = table(spark, sf_dir, "documents")
-    before = set(written())
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        drop_written(spark, [p for p in written()[:-1] if p not in before])
+    with scope() as mine:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            drop_written(spark, mine[:-1])
     return docs
