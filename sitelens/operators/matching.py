@@ -2,32 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.operators.components import components
+from sitelens.operators.numbering import number
 from sitelens.sources.scratch import materialize
 
 
-def greedy_pairs(pairs: DataFrame, left: str, right: str, cost: str, max_rounds: int = 100) -> DataFrame:
+#: Rounds of mutual firsts before connected groups are settled whole, and the pairs of a group that one task settles at a time.
+ROUNDS, AT_ONCE = 4, 100_000
+
+
+def greedy_pairs(pairs: DataFrame, left: str, right: str, cost: str, at_once: int = AT_ONCE) -> DataFrame:
     """The pairs that a greedy pass by (cost, left, right) accepts when each left and each right is used once.
 
-    A pair that comes first at both of its ends is always accepted, so each round takes all such pairs and removes their ends:
-    two partial minima and two anti joins a round, however large a group is. Pairs with null ends or cost are ignored. A pass that
-    is not through after max_rounds raises.
-    """
+    A pair that comes first at both of its ends is always accepted, so a round takes all such pairs and removes their ends: two
+    partial minima and two anti joins, however large a group is. What ties and chains leave after ROUNDS rounds falls into connected
+    groups, each passed over in order by one task, at_once pairs of a larger one at a time (its first ones, which depend on no
+    others). So it ends for any input. Pairs with null ends or cost are ignored."""
     rest = materialize(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(cost).isNotNull()).dropDuplicates([left, right]), "pairs")
     out = None
     order = F.struct(cost, left, right)
-    for _ in range(max_rounds):
+    for turn in count():
         if rest.isEmpty():
             return out if out is not None else rest
-        by_left = rest.groupBy(left).agg(F.min(order).alias("first")).select("first")
-        by_right = rest.groupBy(right).agg(F.min(order).alias("first")).select("first")
-        first = by_left.join(by_right, "first").select(f"first.{left}", f"first.{right}")
-        took = materialize(rest.join(first, [left, right], "left_semi"), "taken")
+        if turn < ROUNDS:
+            by_left = rest.groupBy(left).agg(F.min(order).alias("first")).select("first")
+            by_right = rest.groupBy(right).agg(F.min(order).alias("first")).select("first")
+            first = by_left.join(by_right, "first").select(f"first.{left}", f"first.{right}")
+            took = materialize(rest.join(first, [left, right], "left_semi"), "taken")
+        else:
+            took = materialize(_pass_over_groups(rest, left, right, cost, at_once), "taken")
         out = took if out is None else out.unionByName(took)
         rest = materialize(rest.join(took.select(left), left, "left_anti").join(took.select(right), right, "left_anti"), "pairs")
-    raise RuntimeError(f"greedy_pairs: pairs are left after {max_rounds} rounds")
+
+
+def _connected(ends: DataFrame, a: Column, b: Column) -> DataFrame:
+    """ends with _group, the connected group of their ends a and b (hashes; groups whose hashes meet count as one)."""
+    e = materialize(ends.withColumn("_a", a).withColumn("_b", b), "ends")
+    nodes = e.select(F.col("_a").alias("id")).unionByName(e.select(F.col("_b").alias("id"))).distinct()
+    group = components(nodes, e.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    return e.join(group.select(F.col("id").alias("_a"), F.col("root").alias("_group")), "_a").drop("_a", "_b")
+
+
+def _pass_over_groups(pairs: DataFrame, left: str, right: str, cost: str, at_once: int) -> DataFrame:
+    grouped = materialize(_connected(pairs, F.xxhash64(F.lit(0), left), F.xxhash64(F.lit(1), right)), "grouped")
+    if grouped.groupBy("_group").count().where(F.col("count") > at_once).isEmpty():
+        first = grouped
+    else:
+        first = number(grouped, [cost, left, right], "_turn", "_group").where(F.col("_turn") <= at_once)
+    names = pairs.columns
+    rows = first.select("_group", *names).repartition("_group").sortWithinPartitions("_group", cost, left, right)
+
+    def accept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used_left, used_right = None, set(), set()
+        for frame in frames:
+            keep = []
+            for g, a, b in zip(frame["_group"], frame[left], frame[right], strict=True):
+                if g != group:
+                    group, used_left, used_right = g, set(), set()
+                fine = a not in used_left and b not in used_right
+                if fine:
+                    used_left.add(a)
+                    used_right.add(b)
+                keep.append(fine)
+            yield frame.loc[keep, names]
+
+    return rows.mapInPandas(accept, pairs.schema)
 
 
 def nearest_pairs(pairs: DataFrame, left: str, right: str, cost: str, below: float) -> DataFrame:
@@ -36,29 +82,55 @@ def nearest_pairs(pairs: DataFrame, left: str, right: str, cost: str, below: flo
     return pairs.where(F.col(cost) < below).groupBy(left).agg(best).select(left, f"b.{right}", f"b.{cost}")
 
 
-def first_unused(pairs: DataFrame, left: str, right: str, max_rounds: int = 1000) -> DataFrame:
+def first_unused(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Each left in its order takes the first right (in its order) of its pairs that no earlier left took."""
-    return greedy_pairs(pairs.select(left, right).withColumn("_turn", F.col(left)), left, right, "_turn", max_rounds).drop("_turn")
+    return greedy_pairs(pairs.select(left, right).withColumn("_turn", F.col(left)), left, right, "_turn").drop("_turn")
 
 
-def kept_apart(nodes: DataFrame, conflicts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def kept_apart(nodes: DataFrame, conflicts: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """Nodes (id) that a pass in the order of id keeps: one goes if it conflicts(a, b) with an earlier kept one.
 
-    A node with no earlier undecided neighbour is decided at once, so each round settles all of those: joins on conflicts only."""
+    A node with no earlier undecided neighbour is decided at once, so each round settles all of those: joins on conflicts only. After
+    ROUNDS rounds connected groups of at most at_once conflicts are passed over in order, one task each; larger ones keep to rounds,
+    which end since each decides the first open node of every group at least."""
     both = conflicts.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")).where("late <> early").distinct()
     open_ = materialize(both, "conflicts")
     gone = None
-    for _ in range(max_rounds):
+    for turn in count():
         if open_.isEmpty():
             return nodes if gone is None else nodes.join(gone.withColumnRenamed("late", "id"), "id", "left_anti")
-        # earlier ends that are later in no open conflict are kept: their later ends go
-        waits = open_.select(F.col("late").alias("early")).distinct()
-        settled = open_.join(waits, "early", "left_anti")
-        out = materialize(settled.select("late").distinct(), "gone")
+        if turn % (4 * ROUNDS) == ROUNDS:
+            grouped = materialize(_connected(open_, F.xxhash64("late"), F.xxhash64("early")), "grouped")
+            small = grouped.groupBy("_group").count().where(F.col("count") <= at_once).select("_group")
+            out = materialize(_gone_in_groups(grouped.join(small, "_group")), "gone")
+            rest = grouped.join(small, "_group", "left_anti").select("late", "early")
+        else:
+            # earlier ends that are later in no open conflict are kept: their later ends go
+            waits = open_.select(F.col("late").alias("early")).distinct()
+            settled = open_.join(waits, "early", "left_anti")
+            out = materialize(settled.select("late").distinct(), "gone")
+            rest = open_
         gone = out if gone is None else gone.unionByName(out)
         # conflicts of a node that has gone bind no one
-        open_ = materialize(open_.join(out, "late", "left_anti").join(out.withColumnRenamed("late", "early"), "early", "left_anti"), "conflicts")
-    raise RuntimeError(f"kept_apart: conflicts are left after {max_rounds} rounds")
+        open_ = materialize(rest.join(out, "late", "left_anti").join(out.withColumnRenamed("late", "early"), "early", "left_anti"), "conflicts")
+
+
+def _gone_in_groups(grouped: DataFrame) -> DataFrame:
+    rows = grouped.select("_group", "late", "early").repartition("_group").sortWithinPartitions("_group", "late", "early")
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, gone = None, set()
+        for frame in frames:
+            new = []
+            for g, late, early in frame.itertuples(index=False):
+                if g != group:
+                    group, gone = g, set()
+                if late not in gone and early not in gone:
+                    gone.add(late)
+                    new.append(late)
+            yield pd.DataFrame({"late": pd.Series(new, dtype=frame["late"].dtype)})
+
+    return rows.mapInPandas(decide, grouped.select("late").schema)
 
 
 def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
