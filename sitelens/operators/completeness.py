@@ -60,8 +60,12 @@ def expected_holes() -> Column:
 
 def scored(sites: DataFrame, assigned: DataFrame) -> DataFrame:
     """sites(site, name, holes, golf) with counters, expected, points of each term, score (3 decimals) and flags."""
+    return scored_counts(sites, counts(assigned))
+
+
+def scored_counts(sites: DataFrame, counters: DataFrame) -> DataFrame:
     zero = {c: 0 for c in [*NAMES, *[f"{v}_ways" for v in WAYS]]}
-    c = sites.select("site", "name", "holes", "golf").join(counts(assigned), "site", "left").fillna(zero).withColumn("expected", expected_holes())
+    c = sites.select("site", "name", "holes", "golf").join(counters, "site", "left").fillna(zero).withColumn("expected", expected_holes())
     want, unnamed = F.col("expected").cast("double"), F.trim(F.coalesce("name", F.lit(""))) == ""
     target = {k: want for k in ("green", "fairway", "tee", "hole", "pin")} | {"bunker": F.greatest(F.lit(6.0), want * 0.75)}
     seen = {k: F.col(k) for k in WEIGHTS if k != "named"} | {"named": F.when(unnamed, 0.0).otherwise(1.0)}
@@ -85,7 +89,12 @@ def scored(sites: DataFrame, assigned: DataFrame) -> DataFrame:
 
 def ranked(sites: DataFrame, assigned: DataFrame) -> DataFrame:
     """What scored gives, with the rank: best score, most greens, name in lower case, all downwards; sites alike in these by number."""
-    out = scored(sites, assigned).withColumn("low", F.lower(F.trim(F.coalesce("name", F.lit("")))))
+    return ranked_counts(sites, counts(assigned))
+
+
+def ranked_counts(sites: DataFrame, counters: DataFrame) -> DataFrame:
+    """The ranking out of sites and their counters."""
+    out = scored_counts(sites, counters).withColumn("low", F.lower(F.trim(F.coalesce("name", F.lit("")))))
     return number(out, [F.desc("score"), F.desc("green"), F.desc("low"), F.asc("site")], "rank").drop("low")
 
 

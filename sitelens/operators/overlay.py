@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import rings
-from sitelens.operators.tracing import AT_ONCE, POINTS, points_column, rings_of_edges
+from sitelens.operators.tracing import AT_ONCE, POINTS, lists_of, points_column, rings_of_edges
 from sitelens.sources.scratch import materialize
 
 Point = tuple[int, int]
@@ -82,18 +82,21 @@ def noded(p: np.ndarray, q: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
     An edge is split at every point that lies within half a unit of it, and at its rounded crossings, until nothing changes."""
     while True:
         # equal edges are one, from the smaller point to the greater
-        back = (p[:, 0] > q[:, 0]) | ((p[:, 0] == q[:, 0]) & (p[:, 1] > q[:, 1]))
-        ends = np.where(back[:, None], np.hstack([q, p]), np.hstack([p, q]))
-        live = (ends[:, :2] != ends[:, 2:]).any(axis=1)
-        ends, of = np.unique(ends[live], axis=0, return_inverse=True)
-        total = np.zeros((len(ends), weight.shape[1]), np.int64)
-        np.add.at(total, of.ravel(), np.where(back[live, None], -weight[live], weight[live]))
-        some = (total != 0).any(axis=1)
-        p, q, weight = ends[some, :2], ends[some, 2:], total[some]
+        a, b = _code(p), _code(q)
+        back, live = a > b, a != b
+        lo, hi = np.where(back, b, a)[live], np.where(back, a, b)[live]
+        if not len(lo):
+            return p[:0], q[:0], weight[:0]
+        order = np.lexsort((hi, lo))
+        lo, hi = lo[order], hi[order]
+        head = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        weight = np.add.reduceat(np.where(back[live, None], -weight[live], weight[live])[order], head, axis=0)
+        some = (weight != 0).any(axis=1)
+        lo, hi, weight = lo[head][some], hi[head][some], weight[some]
+        p, q = _point(lo), _point(hi)
         if not len(p):
             return p, q, weight
-        points = [np.unique(np.concatenate([p, q]), axis=0), _crossings(p, q)]
-        points = np.unique(np.concatenate(points), axis=0)
+        points = _point(np.unique(np.concatenate([lo, hi, _code(_crossings(p, q))])))
         edge, node = _touched(p, q, points)
         if not len(edge):
             return p, q, weight
@@ -112,6 +115,15 @@ def noded(p: np.ndarray, q: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
         weight = np.concatenate([weight[stay], np.repeat(weight[split], hi - lo + 1, axis=0)])
 
 
+def _code(points: np.ndarray) -> np.ndarray:
+    """One integer for each point of a tile (coordinates from 0 to below 2^31), in the order of x, then y."""
+    return points[:, 0] << 31 | points[:, 1]
+
+
+def _point(code: np.ndarray) -> np.ndarray:
+    return np.stack([code >> 31, code & 0x7FFFFFFF], axis=1)
+
+
 def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
 
@@ -205,8 +217,8 @@ def _retiled(pieces: DataFrame, size: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for key, side, points in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ring = [(p["x"], p["y"]) for p in points if p is not None and p["x"] is not None and p["y"] is not None]
+            for key, side, points in zip(*(c.to_pylist() for c in b.columns[:2]), lists_of(b.column(2)), strict=True):
+                ring = [p for p in points if None not in p]
                 if len(ring) > 2:
                     found += ((key, tx, ty, side, part) for tx, ty, part in tiled(ring, size))
             keys, tx, ty, side, part = zip(*found, strict=True) if found else ((),) * 5
@@ -246,7 +258,7 @@ def result_edges(shapes: DataFrame, operation: str, tile: int = TILE, crowded: i
 
         group, parts, tiles = None, [], []
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r in zip(*(c.to_pylist() for c in b.columns[:5]), lists_of(b.column(5)), strict=True):
                 if r[:4] != group:
                     if parts:
                         tiles.append((group, tile_edges(parts, sides, inside)))
@@ -254,13 +266,15 @@ def result_edges(shapes: DataFrame, operation: str, tile: int = TILE, crowded: i
                     if len(tiles) > 500:
                         yield send(tiles)
                         tiles = []
-                parts.append((r[4], [(p["x"], p["y"]) for p in r[5]]))
+                parts.append((r[4], r[5]))
         if parts:
             tiles.append((group, tile_edges(parts, sides, inside)))
         yield send(tiles)
 
     names = ["key", "tx", "ty", "size"]
-    rows = done.select(*names, "side", "ring").repartition(*names).sortWithinPartitions(*names)
+    # tiles are few bytes but much work, so partitions are not merged by size
+    parts = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = done.select(*names, "side", "ring").repartition(parts, *names).sortWithinPartitions(*names)
     edges = materialize(rows.mapInArrow(solve, "key long, x0 long, y0 long, x1 long, y1 long, line int"), "result")
     return edges.where("line < 0").drop("line").unionByName(_uncancelled(edges.where("line >= 0"), tile))
 

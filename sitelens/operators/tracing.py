@@ -7,6 +7,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,17 @@ def points_column(lists: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(_POINT)))
 
 
+def lists_of(column: pa.Array) -> Iterator[list[tuple[int, int]]]:
+    """The points of each list of an Arrow column; a null point has null coordinates."""
+    flat = column.flatten()
+    x, y = (flat.field(k).to_pylist() for k in range(2))
+    if flat.null_count:
+        x = [None if n else v for n, v in zip(flat.is_null().to_pylist(), x, strict=True)]
+    points = list(zip(x, y, strict=True))
+    ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())]).tolist()
+    return (points[a:b] for a, b in zip(ends, ends[1:], strict=False))
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges sorted by block (key, block, id, next, x, y) to chains within their block: (key, head, after, points); a closed one has no after."""
 
@@ -63,8 +75,7 @@ def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rings without points on straight sides, from their smallest point on."""
     for b in batches:
         out = []
-        for points in b.column(1).to_pylist():
-            ring = [(p["x"], p["y"]) for p in points]
+        for ring in lists_of(b.column(1)):
             bends = [q for p, q, r in zip([ring[-1], *ring[:-1]], ring, [*ring[1:], ring[0]], strict=True) if (q[0] - p[0]) * (r[1] - q[1]) != (q[1] - p[1]) * (r[0] - q[0])]
             k = bends.index(min(bends)) if bends else 0
             out.append(bends[k:] + bends[:k])
@@ -100,7 +111,8 @@ def rings_of_edges(edges: DataFrame, cell: int, at_once: int = AT_ONCE) -> DataF
     crowded = e.groupBy("key").count().where(F.col("count") > at_once).select("key", F.lit(True).alias("crowded"))
     place = F.xxhash64(F.floor(F.col("x0") / (8 * cell)), F.floor(F.col("y0") / (8 * cell)))
     rows = e.join(paired, "id").join(crowded, "key", "left").select("key", F.when(F.col("crowded"), place).otherwise(0).alias("block"), "id", "next", "x0", "y0")
-    chains = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_chains, f"key long, head long, after long, points {POINTS}")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chains = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block").mapInArrow(_chains, f"key long, head long, after long, points {POINTS}")
     chains = materialize(chains, "chains")
     rings = chains.where("after IS NULL").select("key", "points")
     open_ = chains.where("after IS NOT NULL")

@@ -119,13 +119,6 @@ def chip_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("h > 0 AND w > 0").select("p_partkey", F.explode(starts(F.col("h"))).alias("y"), starts(F.col("w")).alias("xs")).select("p_partkey", "y", F.explode("xs").alias("x"))
 
 
-def label_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each pixel's (order's) class: of the layers (lines) over it the one painted last."""
-    order = F.max((F.col("l_partkey") % len(PAINT)).cast("int")).alias("top")
-    px = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(order)
-    return px.groupBy(F.element_at(F.array(*[F.lit(p) for p in PAINT]), F.col("top") + 1).alias("class")).agg(F.count("*").alias("pixels"))
-
-
 def scorecard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strokes of a hole on a nine-hole card; wrapped: of hole ((h - 1) mod 9) + 1."""
     hole = (F.col("l_partkey") % 27 + 1).cast("int")
@@ -169,7 +162,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (greedy_one_to_one, nearest_within, self_crossings, spatial_semi_clip, name_jaccard, hit_score_topk, params_hash, ring_compactness, chip_windows, label_paint, scorecard_lookup, bounds_mean, validity_ratio, topology_counts, cache_ttl, stream_counts)
+    for f in (greedy_one_to_one, nearest_within, self_crossings, spatial_semi_clip, name_jaccard, hit_score_topk, params_hash, ring_compactness, chip_windows, scorecard_lookup, bounds_mean, validity_ratio, topology_counts, cache_ttl, stream_counts)
 }
 
 
@@ -208,7 +201,6 @@ FROM (SELECT p_partkey, p_size::DOUBLE AS w, (p_partkey % 7 + 1)::DOUBLE AS h FR
         "chip_windows": """WITH i AS (SELECT p_partkey, p_size * 97 AS h, p_partkey % 11 * 211 AS w FROM part WHERE p_size > 0 AND p_partkey % 11 > 0),
 y AS (SELECT DISTINCT p_partkey, unnest(list_append(generate_series(0, greatest(h - 512, 0), 384), greatest(h - 512, 0)))::BIGINT AS y FROM i), x AS (SELECT DISTINCT p_partkey, unnest(list_append(generate_series(0, greatest(w - 512, 0), 384), greatest(w - 512, 0)))::BIGINT AS x FROM i)
 SELECT p_partkey, y, x FROM y JOIN x USING (p_partkey)""",
-        "label_paint": f"SELECT [{paint}][top + 1] AS class, count(*) AS pixels FROM (SELECT max(l_partkey % {len(PAINT)}) AS top FROM lineitem GROUP BY l_orderkey) GROUP BY 1",
         "scorecard_lookup": f"SELECT hole, [{pars}][hole] AS par, [{pars}][(hole - 1) % 9 + 1] AS wrapped, n FROM (SELECT (l_partkey % 27 + 1)::INT AS hole, count(*) AS n FROM lineitem GROUP BY 1)",
         "bounds_mean": f"WITH {FEATURES_SQL} SELECT {layer} AS layer, " + ", ".join(f"round({g}({c}), 6) AS {n}_{c}" for n, g in (("min", "min"), ("max", "max"), ("mean", "avg")) for c in ("lon", "lat")) + " FROM feats GROUP BY 1",
         "validity_ratio": "SELECT l_returnflag, round(avg((l_quantity >= 10)::INT), 6) AS ratio FROM lineitem GROUP BY 1",
