@@ -86,3 +86,22 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     """Whether a point lies within a ring, by the parity of the edges that a ray to the east meets."""
     crosses = lambda e: ((e.a.y > y) != (e.b.y > y)) & (x < (e.b.x - e.a.x) * (y - e.a.y) / (e.b.y - e.a.y) + e.a.x)
     return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+
+
+def elongation(hull: Column) -> Column:
+    """Length over width of the smallest rectangle around a convex ring: one side lies along an edge. 99 where it has no width."""
+
+    def along(e: Column) -> Column:
+        size = F.hypot(e.b.x - e.a.x, e.b.y - e.a.y)
+
+        def measured(u: Column) -> Column:
+            far, off = F.transform(hull, lambda p: p.x * u.x + p.y * u.y), F.transform(hull, lambda p: p.y * u.x - p.x * u.y)
+            spans = F.struct((F.array_max(far) - F.array_min(far)).alias("f"), (F.array_max(off) - F.array_min(off)).alias("o"))
+            # of rectangles alike in area (to rounding) the least elongated
+            ratio = lambda s: F.greatest(s.f, s.o) / F.least(s.f, s.o)
+            return once(spans, lambda s: F.struct(F.round(s.f * s.o, 12).alias("area"), F.when(F.least(s.f, s.o) > 0, ratio(s)).otherwise(99.0).alias("ratio")))
+
+        return once(F.struct(((e.b.x - e.a.x) / size).alias("x"), ((e.b.y - e.a.y) / size).alias("y")), measured)
+
+    some = F.filter(_edges(hull), lambda e: (e.a.x != e.b.x) | (e.a.y != e.b.y))
+    return F.coalesce(F.array_min(F.transform(some, along)).ratio, F.lit(99.0))

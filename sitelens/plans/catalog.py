@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import formats, metric, names, rings, tags
-from sitelens.operators import components, matching, spatial
+from sitelens.operators import components, drafts, matching, spatial
 from sitelens.operators.numbering import number
 from sitelens.sinks import rankings
-from sitelens.sources.scratch import scratch_path
+from sitelens.sources.scratch import materialize, scratch_path
 from sitelens.sources.tables import FEATURES_SQL, SITES_SQL, features, sites, table
 
 DEGREE = metric.METRES
@@ -103,13 +103,28 @@ def gps_centerlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return far.select("site", "hole", (-F.col("t.order")).alias("tee"), F.round("t.d", 3).alias("metres"))
 
 
+#: Centerlines lie this far and no farther from the middles that they are listed by, in degrees.
+HALF_LINE = 0.0025
+
+
 def nearest_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each bunker's nearest centerline of its site, however far; a site's centerlines are few."""
+    """Each bunker's nearest centerline of its site, however far. A line is looked for by its middle: the nearest middle's line is no farther
+    than it and half a line, so the nearest line's middle lies within that and half a line more."""
     line = _of_site(spark, sf_dir, "hole").select("site", F.col("feat").alias("line"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
     line = line.select("*", (F.col("ax") + F.lit(0.004)).alias("bx"), (F.col("ay") - F.lit(0.003)).alias("by"))
+    line = line.withColumns({"rlon": (F.col("ax") + F.col("bx")) / 2, "rlat": (F.col("ay") + F.col("by")) / 2})
+    bunker = _of_site(spark, sf_dir, "bunker").select("feat", "site", "lon", "lat")
+    first = drafts.nearest_any(bunker, line.select("site", "line", "rlon", "rlat"), "feat", "line", ["site"], 0.01).select("feat", F.sqrt("d2").alias("least"))
+    # bands of reach: a bunker is joined at the smallest that holds what it needs
+    need = F.col("least") + F.lit(2 * HALF_LINE + 1e-6)
+    placed = materialize(bunker.join(first, "feat").withColumn("band", F.greatest(F.ceil(F.log2(need / F.lit(0.01))), F.lit(0)).cast("int")), "bands")
     d = F.round(metric.to_segment(*[F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")]), 4)
-    b = _of_site(spark, sf_dir, "bunker").join(line, "site").groupBy("feat").agg(F.min(F.struct(d.alias("metres"), "line")).alias("m"))
-    return b.select("feat", "m.line", "m.metres")
+    out = None
+    for (band,) in sorted(placed.select("band").distinct().collect()):  # a few: reach doubles from one to the next
+        near = spatial.near(placed.where(F.col("band") == band), line, 0.01 * 2**band, ["site"]).groupBy("feat").agg(F.min(F.struct(d.alias("metres"), "line")).alias("m"))
+        out = near if out is None else out.unionByName(near)
+    found = out if out is not None else placed.select("feat", F.struct(F.lit(0.0).alias("metres"), F.col("feat").alias("line")).alias("m"))
+    return found.select("feat", "m.line", "m.metres")
 
 
 def instance_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

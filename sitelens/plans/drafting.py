@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import formats, metric, names, payloads, rings
-from sitelens.operators import drafts, shapes
+from sitelens.operators import drafts, shapes, tours
 from sitelens.plans.catalog import _of_site, _shapes
 from sitelens.sources.tables import FEATURES_SQL, SITES_SQL, features, sites, table
 
 #: Scale of the given tables: features lie some hundred metres apart.
 CATCH, TOUCH, FAR, HALF, CELL_M = 450.0, 60.0, 1500.0, 0.002, 100.0
+# Fixed value: the greatest elongation of a sand area.
+SLIM = 5.5
 # Sources that are not the map's, sources that are, tags of practice greens.
 MADE, MAPPED, PRACTICE = ["imagery", "centerline_buffer", "pin", "imagery_pin"], ["openstreetmap", "osm", "hybrid", "osm_refined"], ["practice", "putting_green", "practice_green"]
 
@@ -141,6 +143,23 @@ def relation_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("relation").agg(F.round(F.sum(sign * rings.area(F.col("ring"))), 6).alias("area"), F.count("*").alias("rings"), F.sum(F.size("ring")).alias("corners"))
 
 
+def tee_green_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes of a site from its tees and greens: pairs along fairways first, numbered by a tour from the site's centre."""
+    at = lambda tag, name: _of_site(spark, sf_dir, tag).select("site", F.col("feat").alias(name), "lon", "lat")
+    half = F.lit(HALF)
+    boxes = at("fairway", "fairway").select("site", "fairway", (F.col("lon") - half).alias("w"), (F.col("lat") - half).alias("s"), (F.col("lon") + half).alias("e"), (F.col("lat") + half).alias("n"))
+    origins = sites(spark, sf_dir).select("site", F.col("lon").alias("ox"), F.col("lat").alias("oy"))
+    return tours.drafted(at("tee", "tee"), at("green", "green").withColumnsRenamed({"lon": "rlon", "lat": "rlat"}), boxes, origins)
+
+
+def hull_elongation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length over width of the smallest rectangles around a site's tees, and whether a sand area of that form is accepted."""
+    t = _of_site(spark, sf_dir, "tee").select(F.col("site").alias("key"), *[F.round(F.col(c) * 1e6).alias(n) for c, n in (("lon", "x"), ("lat", "y"))])
+    ratio = F.round(rings.elongation(F.transform("ring", lambda p: F.struct((p.x / F.lit(1e6)).alias("x"), (p.y / F.lit(1e6)).alias("y")))), 4)
+    h = shapes.hulls(t).where(F.size("ring") > 2).select(F.col("key").alias("site"), ratio.alias("elongation"))
+    return h.select("site", "elongation", (F.col("elongation") <= SLIM).alias("fits"))
+
+
 def buffer_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Square metres on the ellipsoid of sites' boxes, of circles about them and of corridors from them."""
     s = sites(spark, sf_dir)
@@ -169,7 +188,7 @@ def dxf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("feat", formats.dxf(F.col("kind"), F.col("points"), F.col("layer")).alias("dxf"))
 
 
-QUERIES = {f.__name__: f for f in (hole_drafts, hole_directions, green_claims, practice_routes, catalog_points, catalog_courses, job_listing, boundary_picks, site_hulls, relation_rings, buffer_areas, occupancy_rows, dxf_rows)}
+QUERIES = {f.__name__: f for f in (hole_drafts, hole_directions, green_claims, practice_routes, catalog_points, catalog_courses, job_listing, boundary_picks, tee_green_tours, hull_elongation, site_hulls, relation_rings, buffer_areas, occupancy_rows, dxf_rows)}
 
 
 def _greedy(name: str, pairs: str) -> str:
@@ -250,6 +269,23 @@ e AS (SELECT p.site, p.x * q.y - q.x * p.y AS c FROM t p JOIN t q ON p.site = q.
 b AS (SELECT site, count(*) AS n, min(x) / 1e6 AS w, min(y) / 1e6 AS s, max(x) / 1e6 AS e, max(y) / 1e6 AS n2 FROM t GROUP BY 1), h AS (SELECT site, count(*) AS corners, sum(c) / 2e12 AS area FROM e GROUP BY 1)
 SELECT b.site, CASE WHEN n < 3 THEN n ELSE corners END AS corners, round(CASE WHEN n < 3 THEN 0 ELSE abs(area) END, 8) AS area, round(w - degrees(130 / {dbl(metric.RADIUS)}) - {dbl(0.0004)}, 7) AS w, round({back(merc('s', '-'))} - {dbl(0.0004)}, 7) AS s,
   round(e + degrees(130 / {dbl(metric.RADIUS)}) + {dbl(0.0004)}, 7) AS e, round({back(merc('n2', '+'))} + {dbl(0.0004)}, 7) AS n FROM b LEFT JOIN h USING (site)""",
+        "tee_green_tours": f"""WITH RECURSIVE {rest}, fair AS (SELECT site, lon - {dbl(HALF)} AS w, lat - {dbl(HALF)} AS s, lon + {dbl(HALF)} AS e, lat + {dbl(HALF)} AS n FROM a WHERE golf = 'fairway'),
+b AS (SELECT t.site, t.feat AS tee, g.feat AS green, t.lon AS ax, t.lat AS ay, g.lon - t.lon AS dx, g.lat - t.lat AS dy FROM a t JOIN a g ON t.site = g.site AND t.golf = 'tee' AND g.golf = 'green'),
+h AS (SELECT tee, green, count(*) AS hits FROM b JOIN fair USING (site) WHERE greatest(least((w - ax) / dx, (e - ax) / dx), least((s - ay) / dy, (n - ay) / dy), 0) <= least(greatest((w - ax) / dx, (e - ax) / dx), greatest((s - ay) / dy, (n - ay) / dy), 1) GROUP BY ALL),
+c AS (SELECT site, tee, green, round(sqrt(dx * dx + dy * dy) * coalesce({dbl(0.35)} / hits, 1), 12) AS cost FROM b LEFT JOIN h USING (tee, green)),
+o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY cost, tee, green) AS k FROM c),
+paired AS (SELECT site, k, tee, green, true AS ok, [tee] AS ts, [green] AS gs FROM o WHERE k = 1
+  UNION ALL SELECT o.site, o.k, o.tee, o.green, NOT (list_contains(ts, o.tee) OR list_contains(gs, o.green)), CASE WHEN list_contains(ts, o.tee) OR list_contains(gs, o.green) THEN ts ELSE list_append(ts, o.tee) END,
+    CASE WHEN list_contains(ts, o.tee) OR list_contains(gs, o.green) THEN gs ELSE list_append(gs, o.green) END FROM paired p JOIN o ON o.site = p.site AND o.k = p.k + 1),
+g AS (SELECT site, feat AS green, lon, lat FROM a WHERE golf = 'green'),
+t AS (SELECT site, 0 AS number, NULL::BIGINT AS green, lon AS x, lat AS y, []::BIGINT[] AS seen FROM sites
+  UNION ALL SELECT site, number + 1, green, lon, lat, list_append(seen, green) FROM (SELECT t.site, number, g.green, lon, lat, seen, row_number() OVER (PARTITION BY t.site ORDER BY (lon - x) ** 2 + (lat - y) ** 2, g.green) AS r FROM t JOIN g ON g.site = t.site AND NOT list_contains(seen, g.green)) WHERE r = 1)
+SELECT t.site, t.number::BIGINT AS number, t.green, p.tee FROM t LEFT JOIN paired p ON p.site = t.site AND p.green = t.green AND p.ok WHERE t.green IS NOT NULL""",
+        "hull_elongation": f"""WITH {rest}, pts AS (SELECT DISTINCT site, round(lon * 1e6) / 1e6 AS x, round(lat * 1e6) / 1e6 AS y FROM a WHERE golf = 'tee'),
+u AS (SELECT m.site, m.x AS mx, m.y AS my, n.x AS nx, n.y AS ny, (n.x - m.x) / sqrt((n.x - m.x) ** 2 + (n.y - m.y) ** 2) AS ux, (n.y - m.y) / sqrt((n.x - m.x) ** 2 + (n.y - m.y) ** 2) AS uy FROM pts m JOIN pts n ON m.site = n.site AND (m.x <> n.x OR m.y <> n.y)),
+s AS (SELECT u.site, mx, my, nx, ny, max(x * ux + y * uy) - min(x * ux + y * uy) AS f, max(y * ux - x * uy) - min(y * ux - x * uy) AS o FROM u JOIN pts p ON p.site = u.site GROUP BY ALL),
+r AS (SELECT site, round(greatest(f, o) / least(f, o), 4) AS elongation, row_number() OVER (PARTITION BY site ORDER BY round(f * o, 12), greatest(f, o) / least(f, o)) AS k FROM s)
+SELECT site, elongation, elongation <= {SLIM} AS fits FROM r WHERE k = 1 AND elongation < 1e9""",
         "relation_rings": """SELECT p_partkey AS relation, round(m / 2.0 * r * r * sin(2 * pi() / m) - CASE WHEN p_partkey % 2 = 0 THEN 0.25 ELSE 0 END, 6) AS area, (1 + (p_partkey % 2 = 0)::INT)::BIGINT AS rings, (m + 4 * (p_partkey % 2 = 0)::INT)::BIGINT AS corners
 FROM (SELECT p_partkey, p_partkey % 5 + 4 AS m, (p_partkey % 3 + 1)::DOUBLE AS r FROM part)""",
         "buffer_areas": f"""WITH {SITES_SQL}, {own}, c AS {around(_capsule_sql('lon', 'lat', 'lon', 'lat', 130.0))}, k AS {around(_capsule_sql('lon', 'lat', f'lon + {dbl(0.004)}', f'lat - {dbl(0.003)}', 28.0))}
