@@ -23,7 +23,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "owned")
 TOKEN = r"[A-Za-z0-9+/_-]{24,}"
-HOT = 512
+HOT, STEPS = 512, 128
 
 
 def spans(text: Column, pattern: str, kind: int, fails) -> Column:
@@ -33,19 +33,36 @@ def spans(text: Column, pattern: str, kind: int, fails) -> Column:
     gaps = F.transform(F.split(text, whole, -1), F.length)
     steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     steps = F.filter(steps, lambda x: x.m.isNotNull())
-    empty = F.lit(None).cast("array<struct<s:int,k:int,e:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")).alias("out"))
-    out = F.aggregate(
-        steps,
-        start,
-        lambda acc, x: F.struct(
-            (acc.at + x.g + F.length(x.m)).alias("at"),
-            F.when(fails(x.m), acc.out)
-            .otherwise(F.concat(acc.out, F.array(F.struct((acc.at + x.g).cast("int").alias("s"), F.lit(kind).alias("k"), (acc.at + x.g + F.length(x.m)).cast("int").alias("e"), x.m.alias("m")))))
-            .alias("out"),
-        ),
-        lambda acc: acc.out,
-    )
+    none = F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")
+
+    def block(part: Column) -> Column:
+        """The matches of a few steps, placed from the first one's gap on, and the length of all."""
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(
+                (acc.at + x.g + F.length(x.m)).alias("at"),
+                F.when(fails(x.m), acc.out)
+                .otherwise(F.concat(acc.out, F.array(F.struct((acc.at + x.g).cast("int").alias("s"), F.lit(kind).alias("k"), (acc.at + x.g + F.length(x.m)).cast("int").alias("e"), x.m.alias("m")))))
+                .alias("out"),
+            ),
+        )
+
+    def placed(all_steps: Column) -> Column:
+        """Blocks of STEPS matches one after the other, so that no long array is copied for each match."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / STEPS).cast("int")), lambda k: block(F.slice(all_steps, k * STEPS + 1, STEPS)))
+        moved = F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,k:int,e:int,m:string>>>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc.at + x["at"]).alias("at"),
+                F.concat(acc.out, F.array(F.transform(x.out, lambda y: F.struct((y.s + acc.at).cast("int").alias("s"), y.k.alias("k"), (y.e + acc.at).cast("int").alias("e"), y.m.alias("m"))))).alias("out"),
+            ),
+            lambda acc: F.flatten(acc.out),
+        )
+        return F.when(F.size(all_steps) > 0, moved).otherwise(none)
+
+    out = F.element_at(F.transform(F.array(steps), placed), 1)
     # most texts hold no match: they skip the fold
     return F.when(text.rlike(pattern), out).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,m:string>>"))
 

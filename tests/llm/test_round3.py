@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.llm import common, copies, pivot_index, runs, whitening, wrappers
+from sitelens.llm import common, copies, pivot_index, runs, secrets, whitening, wrappers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -283,3 +283,18 @@ def test_pages_with_repeats_and_clashes(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, shape int")
     got = wrappers.main_text(df).collect()
     assert Counter((r.page_id, r.text) for r in got) == Counter([*((k, f"{w} is what this page says, at some length\nand {w} ends it") for k, w in enumerate(["one", "two", "three", "four"])), (0, "one is what this page says, at some length\nand one ends it"), (None, ""), (9, "")])
+
+
+def test_spans_of_a_very_long_text(spark):
+    """Tens of thousands of matches in one text, short ones that fail among them, end soon and lie where a plain scan finds them."""
+    import re
+    import time
+
+    text = "".join(f"é token = {'s' * (i % 9)}{i} {i:040x} " for i in range(20_000))
+    began = time.time()
+    got = secrets.scan(spark.createDataFrame([(1, text, "a/b"), (2, "none", "a/b"), (3, "", None), (4, None, "x")], "doc_id long, text string, source string"))
+    found = {r.doc_id: sorted((x.s, x.k, x.e) for x in r.base) for r in got.select("doc_id", "base").collect()}
+    took = time.time() - began
+    assign = re.compile(secrets.ASSIGN.replace("(?i:", "(?ai:"))
+    want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 6] + [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, text) if len(m[0]) >= 24]
+    assert found == {1: sorted(want), 2: [], 3: [], 4: []} and took < 120
