@@ -46,6 +46,12 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _narrow(m: np.ndarray) -> np.ndarray:
+    """The same integers in as few bytes each as they need."""
+    low, high = (int(m.min()), int(m.max())) if m.size else (0, 0)
+    return m.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 class FitList:
     """The distinct vectors as blocks on shared files, and sums over them."""
 
@@ -53,11 +59,11 @@ class FitList:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 m = _rows(b.column(0))
-                raw = [m[i : i + BLOCK].tobytes() for i in range(0, len(m), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array([len(m[i : i + BLOCK]) for i in range(0, len(m), BLOCK)], pa.int64()), pa.array(raw, pa.binary())], ["rows", "raw"])
+                parts = [_narrow(m[i : i + BLOCK]) for i in range(0, len(m), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array([p.itemsize for p in parts], pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["width", "raw"])
 
         one = x.select("x").distinct()
-        self.blocks = materialize(one.mapInArrow(pack, "rows long, raw binary"), "fit")
+        self.blocks = materialize(one.mapInArrow(pack, "width int, raw binary"), "fit")
         self.tasks = max(1, self.blocks.rdd.getNumPartitions())
         first = x.select(F.size("x").alias("d")).first()
         self.d = first.d if first else 0
@@ -69,6 +75,7 @@ class FitList:
         d = self.d
 
         def part(m: np.ndarray) -> np.ndarray:
+            m = m.astype(np.int64)
             return np.concatenate([[len(m)], (m >> 32).sum(axis=0), (m & 0xFFFFFFFF).sum(axis=0)])
 
         got = self._added(part, np.int64)
@@ -81,8 +88,8 @@ class FitList:
         def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
-                for raw in b.column("raw").to_pylist():
-                    got = part(np.frombuffer(raw, np.int64).reshape(-1, d))
+                for width, raw in zip(b.column("width").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                    got = part(np.frombuffer(raw, f"<i{width}").reshape(-1, d))
                     total = got if total is None else total + got
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], ["raw"])
@@ -92,7 +99,7 @@ class FitList:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array([np.sum(held, axis=0).astype(kind).tobytes()], pa.binary())], ["raw"])
 
-        sums = self.blocks.select("raw").mapInArrow(inner, "raw binary")
+        sums = self.blocks.mapInArrow(inner, "raw binary")
         if self.tasks > DIRECT:
             sums = sums.repartition(DIRECT).mapInArrow(outer, "raw binary")
         return np.sum([np.frombuffer(r.raw, kind) for r in sums.collect()], axis=0)
