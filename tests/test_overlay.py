@@ -56,8 +56,7 @@ def _frame(spark, shapes):
     return spark.createDataFrame([(k, s, [{"x": x, "y": y} for x, y in r]) for k, s, r in shapes], SCHEMA)
 
 
-@pytest.mark.parametrize("operation", list(RULES))
-@pytest.mark.parametrize("tile,crowded,at_once", [(1 << 17, 400, 100_000), (1024, 24, 10)])
+@pytest.mark.parametrize("operation,tile,crowded,at_once", [*((op, 1024, 24, 10) for op in RULES), ("difference", 1 << 17, 400, 100_000)])
 def test_overlay_matches_ray_casting(spark, operation, tile, crowded, at_once):
     shapes = _shapes(len(operation))
     got = {}
