@@ -102,9 +102,12 @@ def spread(mask: DataFrame, seeds: DataFrame, steps: int, wide: bool = False, ti
     def tile_of(frame: pd.DataFrame) -> pd.DataFrame:
         x, y, x0, y0 = _dense(frame, steps, tile)
         is_seed = frame["own"].to_numpy()
-        m, own = np.zeros((tile + 2 * steps,) * 2, bool), np.full((tile + 2 * steps,) * 2, NONE)
-        m[y[~is_seed], x[~is_seed]] = True
-        np.minimum.at(own, (y[is_seed], x[is_seed]), frame["seed"].to_numpy()[is_seed])
+        # only the part that holds rows is worked on
+        left, top = int(x.min()), int(y.min())
+        side = (int(y.max()) - top + 1, int(x.max()) - left + 1)
+        m, own = np.zeros(side, bool), np.full(side, NONE)
+        m[y[~is_seed] - top, x[~is_seed] - left] = True
+        np.minimum.at(own, (y[is_seed] - top, x[is_seed] - left), frame["seed"].to_numpy()[is_seed])
         own[~m] = NONE
         step = np.where(own < NONE, 0, -1)
         for s in range(1, steps + 1):
@@ -114,10 +117,11 @@ def spread(mask: DataFrame, seeds: DataFrame, steps: int, wide: bool = False, ti
             if not new.any():
                 break
             own[new], step[new] = come[new], s
-        inner = np.s_[steps : steps + tile, steps : steps + tile]
-        own, step = own[inner], step[inner]
         j, i = np.nonzero(own < NONE)
-        return pd.DataFrame({"key": frame["key"].iloc[0], "x": i + x0 + steps, "y": j + y0 + steps, "seed": own[j, i], "step": step[j, i]})
+        a, b = i + left, j + top
+        inner = (a >= steps) & (a < steps + tile) & (b >= steps) & (b < steps + tile)
+        i, j, a, b = i[inner], j[inner], a[inner], b[inner]
+        return pd.DataFrame({"key": frame["key"].iloc[0], "x": a + x0, "y": b + y0, "seed": own[j, i], "step": step[j, i]})
 
     return rows.groupBy("key", "tx", "ty").applyInPandas(tile_of, "key long, x long, y long, seed long, step int")
 
