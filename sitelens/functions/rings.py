@@ -16,6 +16,11 @@ def once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def from_first(ring: Column) -> Column:
+    """A ring or line seen from its first point, so that nothing large cancels in its measures."""
+    return once(ring, lambda r: F.transform(r, lambda p: F.struct((p.x - r[0].x).alias("x"), (p.y - r[0].y).alias("y"))))
+
+
 def area(ring: Column) -> Column:
     return F.abs(signed_area(ring))
 

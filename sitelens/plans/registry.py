@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import names, tags
 from sitelens.operators import completeness, spatial
-from sitelens.plans import areas, assignment, catalog, drafting, feeds, fusing, images, turf
+from sitelens.plans import areas, assignment, catalog, drafting, feeds, fusing, images, refining, turf
 from sitelens.sources.tables import FEATURES_SQL, SITES_SQL, features, sites, table
 
 _GOLF = ", ".join(f"'{k}': '{v}'" for k, v in tags.GOLF_LAYERS.items())
@@ -156,5 +156,5 @@ ORACLES = {
     "cache_latest": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
 }
 
-QUERIES |= assignment.QUERIES | catalog.QUERIES | drafting.QUERIES | areas.QUERIES | feeds.QUERIES | turf.QUERIES | fusing.QUERIES | images.QUERIES
-ORACLES |= assignment.oracles(_ASSIGN_SQL, _LAYER_SQL) | catalog.oracles(_ASSIGN_SQL, _LAYER_SQL) | drafting.oracles(_ASSIGN_SQL, _LAYER_SQL) | areas.ORACLES | feeds.oracles(_ORACLE_RANK, _LAYER_SQL) | turf.ORACLES | fusing.oracles(_ASSIGN_SQL) | images.ORACLES
+QUERIES |= assignment.QUERIES | catalog.QUERIES | drafting.QUERIES | areas.QUERIES | feeds.QUERIES | turf.QUERIES | fusing.QUERIES | images.QUERIES | refining.QUERIES
+ORACLES |= assignment.oracles(_ASSIGN_SQL, _LAYER_SQL) | catalog.oracles(_ASSIGN_SQL, _LAYER_SQL) | drafting.oracles(_ASSIGN_SQL, _LAYER_SQL) | areas.ORACLES | feeds.oracles(_ORACLE_RANK, _LAYER_SQL) | turf.ORACLES | fusing.oracles(_ASSIGN_SQL) | images.ORACLES | refining.oracles(_ASSIGN_SQL)
