@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import metric
 from sitelens.operators import filling, fusion, refinement, spatial
+from sitelens.sources.scratch import materialize
 from sitelens.sources.tables import features, sites
 
 LAYERS = {"green": "green", "bunker": "bunker", "lateral_water_hazard": "water", "rough": "bunker"}
@@ -21,7 +22,9 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, layer = F.col("feat"), F.create_map(*[F.lit(v) for kv in LAYERS.items() for v in kv])[F.col("golf")]
     size = {"w": 3000 + k % 7 * 200, "h": 2600 + k % 5 * 300}
     placed = spatial.assign_to_sites(f, sites(spark, sf_dir))
-    return placed.select("site", k.alias("k"), F.floor(k / 12).alias("n"), "golf", layer.alias("layer"), units("lon").alias("x"), units("lat").alias("y"), *[v.alias(c) for c, v in size.items()])
+    # read several times by each query
+    placed = placed.select("site", k.alias("k"), F.floor(k / 12).alias("n"), "golf", layer.alias("layer"), units("lon").alias("x"), units("lat").alias("y"), *[v.alias(c) for c, v in size.items()])
+    return materialize(placed, "placed")
 
 
 def _ell(x: Column, y: Column, w: Column, h: Column) -> Column:
