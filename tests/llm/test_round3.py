@@ -298,3 +298,56 @@ def test_spans_of_a_very_long_text(spark):
     assign = re.compile(secrets.ASSIGN.replace("(?i:", "(?ai:"))
     want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 6] + [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, text) if len(m[0]) >= 24]
     assert found == {1: sorted(want), 2: [], 3: [], 4: []} and took < 120
+
+
+def test_wrappers_are_fitted_on_all_pages(spark):
+    """200 pages a host, in buckets and rounds: a text that one page lacks is no constant, and a few long pages count for the main container."""
+    r = random.Random(5)
+    page = "<body><div class='a'><p>{0} is what this page says, at such a length that what all pages say is little</p>{1}<p>{0} ends</p></div><div class='b'><p>{2}</p></div></body>"
+    rows, want = [], {}
+    for h in range(8):
+        odd = r.randrange(200) if h % 2 else -1
+        long = set(r.sample(range(200), 4)) if h >= 4 else set()
+        pages = [page.format(f"w{h} {k}", f"<p>{'Read less' if k == odd else 'Read more'} at our house</p>", f"side {k} " * (3000 if k in long else 1)) for k in range(200)]
+        made = wrappers.infer(pages)
+        for k, p in enumerate(pages):
+            text = wrappers.extract(p, made)
+            assert ("at our house" in text) == (h < 4 and h % 2 == 1) and (" ends" in text) == (h < 4)
+            rows.append((h * 200 + k, f"http://h{h}/{k}", p))
+            want[h * 200 + k] = text
+    # copies change nothing
+    rows += [(2000 + k, *rows[k % 7][1:]) for k in range(300)]
+    want |= {2000 + k: want[k % 7] for k in range(300)}
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(got) == len(want) and {x.page_id: x.text for x in got} == want
+
+
+def test_a_short_page_decides_for_itself_only(spark):
+    """Constants are dropped from all pages but those of which they would be more than a fifth."""
+    page = "<body><div class='m'><p>{0}</p><p>Read more at our house</p></div></body>"
+    texts = [f"{k} is what this page says, at such a length that what all of the pages say is little of it, as in most cases" for k in range(90)]
+    texts[37] = "short 37"
+    rows = [(k, f"http://h/{k}", page.format(t)) for k, t in enumerate(texts)]
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x.page_id: x.text for x in got} == {k: t + ("\nRead more at our house" if k == 37 else "") for k, t in enumerate(texts)}
+
+
+def test_expressions_merge_in_any_order():
+    """Expressions of parts cover what the pages do, keep what all of them have and are no longer than a page."""
+    r = random.Random(7)
+    fixed = [("div", k) for k in range(100, 105)]
+    for _ in range(50):
+        pages = []
+        for _ in range(12):
+            blocks = [(r.choice("pqr"), r.randrange(1000, 9999)) for _ in range(r.randint(0, 8))]
+            for at, x in zip(sorted(r.choices(range(len(blocks) + 1), k=5), reverse=True), fixed[::-1], strict=True):
+                blocks.insert(at, x)
+            pages.append(blocks)
+        shapes = wrappers.Shapes()
+        made = [shapes.page_items([p for p, _ in b], [k for _, k in b], {k for _, k in fixed}) for b in pages]
+        parts = [wrappers.dump(shapes.align_all(made[k : k + 4])) for k in (0, 4, 8)]
+        for order in (parts, parts[::-1]):
+            other = wrappers.Shapes()
+            whole = other.align_all(map(other.load, order))
+            assert wrappers.constants(whole) == [k for _, k in fixed]
+            assert len(whole) <= 2 * min(map(len, made)) + 1 and wrappers.dump(other.load(wrappers.dump(whole))) == wrappers.dump(whole)
