@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import rings
-from sitelens.operators.overlay import TILE, overlay, turned
+from sitelens.operators.overlay import TILE, overlay, overlays, turned
 from sitelens.operators.tracing import POINTS, lists_of, points_column
 from sitelens.sources.scratch import materialize
 
@@ -20,8 +20,14 @@ ROUND = 64
 
 
 def side(shapes: DataFrame, number: int) -> DataFrame:
-    """shapes(key, ring, hole) as one side of an overlay."""
-    return shapes.select("key", F.lit(number).alias("side"), turned(F.col("ring"), F.coalesce("hole", F.lit(False))).alias("ring"))
+    """shapes(key, ring, hole) as one side of an overlay, which turns them."""
+    return shapes.select("key", F.lit(number).alias("side"), "ring", F.coalesce("hole", F.lit(False)).alias("hole"))
+
+
+def _edge(shapes: DataFrame, width: float, number: int) -> DataFrame:
+    """The margin of shapes(key, ring, hole) as one side of an overlay; rings must turn so that their inside is on the left."""
+    own = shapes.select("key", turned(F.col("ring"), F.coalesce("hole", F.lit(False))).alias("ring"))
+    return _mapped(own, lambda ring: margin(ring, width)).select("key", F.lit(number).alias("side"), "ring", F.lit(False).alias("hole"))
 
 
 def dissolve(shapes: DataFrame, tile: int = TILE) -> DataFrame:
@@ -34,6 +40,11 @@ def combined(a: DataFrame, b: DataFrame, operation: str, tile: int = TILE) -> Da
     return overlay(side(a, 0).unionByName(side(b, 1)), operation, tile)
 
 
+def all_combined(a: DataFrame, b: DataFrame, operations: list[str], tile: int = TILE) -> DataFrame:
+    """(operation, key, ring) of several operations, which are worked out together."""
+    return overlays(side(a, 0).unionByName(side(b, 1)), operations, tile)
+
+
 def subtracted(shapes: DataFrame, masks: DataFrame, tile: int = TILE) -> DataFrame:
     """(key, ring): what masks(key, ring, hole) leave of shapes(key, ring, hole)."""
     return combined(shapes, masks, "difference", tile)
@@ -117,18 +128,14 @@ def buffered(shapes: DataFrame, width: float, tile: int = TILE) -> DataFrame:
 
     Rings turn so that their inside is on the left, so the margin of every ring, a hole's too, lies where the shape ends. What overlaps is
     resolved by winding numbers in the overlay."""
-    own = side(shapes, 0)
-    edge = _mapped(own, lambda ring: margin(ring, width))
-    edge = edge.select("key", F.lit(0 if width > 0 else 1).alias("side"), turned(F.col("ring"), F.lit(False)).alias("ring"))
-    return overlay(own.unionByName(edge), "union" if width > 0 else "difference", tile)
+    edge = _edge(shapes, width, 0 if width > 0 else 1)
+    return overlay(side(shapes, 0).unionByName(edge), "union" if width > 0 else "difference", tile)
 
 
 def collars(shapes: DataFrame, width: float, near: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
     """(key, ring): what lies within the width of shapes(key, ring, hole) and in none of near(keys): rows (key, ring, hole) of the
     shapes, itself included, and other ground that a key's collar must spare."""
-    own = side(shapes, 0)
-    edge = _mapped(own, lambda ring: margin(ring, width)).select("key", F.lit(0).alias("side"), turned(F.col("ring"), F.lit(False)).alias("ring"))
-    return overlay(own.unionByName(edge).unionByName(side(near(shapes), 1)), "difference", tile)
+    return overlay(side(shapes, 0).unionByName(_edge(shapes, width, 0)).unionByName(side(near(shapes), 1)), "difference", tile)
 
 
 def nested(result: DataFrame, tile: int = TILE) -> DataFrame:

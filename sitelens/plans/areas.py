@@ -40,10 +40,10 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("k", "site", "side", "x0", "y0", F.explode(parts).alias("p")).select("k", "site", "side", "x0", "y0", "p.ring", "p.hole")
 
 
-def _measures(result: DataFrame, key: str) -> DataFrame:
+def _measures(result: DataFrame, key: str, *by: str) -> DataFrame:
     """Area and length of all rings of a key; holes turn the other way, so their areas are negative."""
-    m = result.groupBy("key").agg(F.sum(rings.signed_area(F.col("ring"))).alias("a"), F.sum(rings.perimeter(F.col("ring"))).alias("p"))
-    return m.select(F.col("key").alias(key), F.round("a").cast("long").alias("area"), F.round("p").cast("long").alias("border"))
+    m = overlay.measured(result, "key", *by).groupBy("key", *by).agg(F.sum("area").alias("a"), F.sum("border").alias("p"))
+    return m.select(F.col("key").alias(key), F.round("a").cast("long").alias("area"), F.round("p").cast("long").alias("border"), *by)
 
 
 def site_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +62,23 @@ def layer_dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measures(areas.dissolve(s, TILE), "layer")
 
 
+def _box(name: str) -> list[Column]:
+    return [f(F.col("ring")[c]).alias(f"{name}_{c}{k}") for k, f in enumerate((F.array_min, F.array_max)) for c in "xy"]
+
+
+def _meet(reach: float = 0) -> Column:
+    """Whether the boxes of a, widened by the reach, and b share more than a side: no other shape takes anything off."""
+    a, b = ({c: F.col(f"{n}_{c}") for c in ("x0", "y0", "x1", "y1")} for n in "ab")
+    return (a["x0"] - reach < b["x1"]) & (b["x0"] < a["x1"] + reach) & (a["y0"] - reach < b["y1"]) & (b["y0"] < a["y1"] + reach)
+
+
 def layer_subtraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the other kind's shapes of a site leave of each of its shapes: area and border of those that stay."""
     s = shapes(spark, sf_dir)
     own = s.where("side = 0").withColumn("key", F.col("k"))
-    others = s.where("side = 1").select("site", "ring", "hole")
-    mask = own.select("key", "site").distinct().join(others, "site").select("key", "ring", "hole")
+    others = s.where("side = 1").select("site", "ring", "hole", *_box("b"))
+    # outer rings only: their holes lie within them
+    mask = own.where("NOT hole").select("key", "site", *_box("a")).join(others, "site").where(_meet()).select("key", "ring", "hole")
     return _measures(areas.subtracted(own, mask, TILE), "shape")
 
 
@@ -95,8 +106,10 @@ def shape_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def green_collars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collar of each green without any shape of its site: cells whose middles lie in it."""
     every = _fine(shapes(spark, sf_dir).select("site", "ring", "hole"))
+    every = every.select("*", *_box("b"))
     g = _fine(_greens(spark, sf_dir))
-    found = areas.collars(g, WIDTH * FINE, lambda own: own.select("key", "site").distinct().join(every, "site").select("key", "ring", "hole"), TILE * FINE)
+    beside = lambda own: own.where("NOT hole").select("key", "site", *_box("a")).join(every, "site").where(_meet(WIDTH * FINE + 1)).select("key", "ring", "hole")
+    found = areas.collars(g, WIDTH * FINE, beside, TILE * FINE)
     return _cells(found, "collar").drop("what")
 
 
