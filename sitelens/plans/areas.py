@@ -49,9 +49,7 @@ def _measures(result: DataFrame, key: str, *by: str) -> DataFrame:
 def site_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, intersection and difference of the two kinds of shapes of each site: area and length of border."""
     s = shapes(spark, sf_dir).withColumn("key", F.col("site"))
-    a, b = s.where("side = 0"), s.where("side = 1")
-    found = [_measures(areas.combined(a, b, op, TILE), "site").withColumn("operation", F.lit(op)) for op in ("union", "intersection", "difference")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return _measures(areas.all_combined(s.where("side = 0"), s.where("side = 1"), ["union", "intersection", "difference"], TILE), "site", "operation")
 
 
 def layer_dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
