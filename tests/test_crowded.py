@@ -31,3 +31,21 @@ def test_lines_of_a_crowded_site(spark, crowded):
     """Lines take holes in turn by the distance of both their ends to the pins."""
     apart, rows = differing(spark, crowded, "layer_fusion")
     assert not apart and rows > 100
+
+
+def test_sites_in_one_place_are_met_once(spark):
+    """Of sites alike in centre and box the smallest is chosen; their number does not multiply the rows that features meet."""
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.spatial import assign_to_sites
+
+    k = F.col("id")
+    one = lambda c: F.when(k % 2 == 0, F.lit(c)).cast("double")
+    sites = spark.range(5, 4005).select(k.alias("site"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), one(0.99).alias("west"), one(1.99).alias("south"), one(1.01).alias("east"), one(2.01).alias("north"))
+    feats = spark.range(2000).select(k.alias("feat"), (k * 0.00003 + 0.98).alias("lon"), F.lit(2.005).alias("lat"))
+    found = assign_to_sites(feats, sites)
+    got = {(r.feat, r.site) for r in found.collect()}
+    assert {s for f, s in got if 400 < f < 900} == {6} and {s for f, s in got if f < 300 or f > 1100} == {5}
+    # the rows of every join: none holds a pair for each site
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Sort [feat" not in plan and "SortAggregate" not in plan
