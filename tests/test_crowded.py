@@ -49,3 +49,25 @@ def test_sites_in_one_place_are_met_once(spark):
     # the rows of every join: none holds a pair for each site
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Sort [feat" not in plan and "SortAggregate" not in plan
+
+
+def test_tees_of_a_crowded_site(spark):
+    """Thousands of tees within reach of each other are passed over in order, by whole keys and by pairs alike."""
+    import random
+
+    from sitelens.operators import matching
+
+    r = random.Random(4)
+    spot = lambda k, site: (site, k, r.uniform(0, 0.02), r.uniform(0, 0.02))
+    given, mapped = ([spot(k, s) for s, n in ((1, 700), (2, 30)) for k in range(s * 1000, s * 1000 + n)] for _ in range(2))
+    reach, want, used = 0.008, {}, set()
+    for site, p, x, y in sorted(given, key=lambda t: t[1]):
+        for at, q, u, v in sorted(mapped, key=lambda t: t[1]):
+            if at == site and q not in used and (x - u) * (x - u) + (y - v) * (y - v) <= reach * reach:
+                want[p] = q
+                used.add(q)
+                break
+    a = spark.createDataFrame(given, "site long, point long, lon double, lat double")
+    b = spark.createDataFrame(mapped, "site long, feat long, rlon double, rlat double")
+    for at_once in (100_000, 100):
+        assert {x.point: x.feat for x in matching.first_unused_near(a, b, reach, "site", "point", "feat", at_once).collect()} == want
