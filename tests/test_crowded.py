@@ -71,3 +71,16 @@ def test_tees_of_a_crowded_site(spark):
     b = spark.createDataFrame(mapped, "site long, feat long, rlon double, rlat double")
     for at_once in (100_000, 100):
         assert {x.point: x.feat for x in matching.first_unused_near(a, b, reach, "site", "point", "feat", at_once).collect()} == want
+
+
+def test_boxes_share_what_clipping_finds(spark):
+    from pyspark.sql import functions as F
+
+    from sitelens.functions import rings
+
+    c = lambda k: F.rand(k) * 4
+    df = spark.range(500).select(*[c(k).alias(f"c{k}") for k in range(4)]).cache()
+    a, b = ((F.col(x), F.col(y), F.col(x) + 1.5, F.col(y) + 2.5) for x, y in (("c0", "c1"), ("c2", "c3")))
+    apart = F.abs(rings.box_overlap(a, b) - rings.overlap(rings.box(*a), rings.box(*b)))
+    some = df.select(apart.alias("apart"), rings.box_overlap(a, b).alias("both"))
+    assert some.where("apart > 1e-9").isEmpty() and some.where("both > 0").count() > 50 and some.where("both = 0").count() > 50
