@@ -39,7 +39,8 @@ def meeting(a: DataFrame, b: DataFrame, keys: list[str], pad: float = 0.0) -> Da
     """Pairs of a(keys, shape, ...) and b(keys, shape, ...) of equal keys whose boxes, a's widened by pad degrees, meet; columns get
     the prefixes a_ and b_.
 
-    Shapes are listed in the cells that their boxes touch and compared in the first cell that both touch, so a pair comes once."""
+    Shapes are listed in the cells that their boxes touch and compared in the first cell that both touch, so a pair comes once. The lists
+    are never broadcast: Spark judges them by the shapes before they are listed, and a wide shape fills very many cells."""
     at = lambda c: F.floor(c / F.lit(CELL)).cast("long")
 
     def listed(df: DataFrame, p: str, by: float) -> DataFrame:
@@ -48,7 +49,7 @@ def meeting(a: DataFrame, b: DataFrame, keys: list[str], pad: float = 0.0) -> Da
         d = d.select("*", *[v.alias(f"_{p}{k}") for k, v in sides.items()]).drop("_b")
         return d.withColumn("_x", F.explode(F.sequence(at(F.col(f"_{p}w")), at(F.col(f"_{p}e"))))).withColumn("_y", F.explode(F.sequence(at(F.col(f"_{p}s")), at(F.col(f"_{p}n")))))
 
-    j = listed(a, "a", pad).join(listed(b, "b", 0.0), [*keys, "_x", "_y"])
+    j = listed(a, "a", pad).hint("merge").join(listed(b, "b", 0.0).hint("merge"), [*keys, "_x", "_y"])
     first = (F.col("_x") == at(F.greatest("_aw", "_bw"))) & (F.col("_y") == at(F.greatest("_as", "_bs")))
     met = (F.col("_aw") <= F.col("_be")) & (F.col("_bw") <= F.col("_ae")) & (F.col("_as") <= F.col("_bn")) & (F.col("_bs") <= F.col("_an"))
     return j.where(first & met).drop("_x", "_y", *[f"_{p}{k}" for p in "ab" for k in "wsen"])

@@ -84,3 +84,17 @@ def test_boxes_share_what_clipping_finds(spark):
     apart = F.abs(rings.box_overlap(a, b) - rings.overlap(rings.box(*a), rings.box(*b)))
     some = df.select(apart.alias("apart"), rings.box_overlap(a, b).alias("both"))
     assert some.where("apart > 1e-9").isEmpty() and some.where("both > 0").count() > 50 and some.where("both = 0").count() > 50
+
+
+def test_wide_shapes_are_not_broadcast(spark):
+    """A few wide shapes fill thousands of cells each, which no size of their table tells."""
+    from pyspark.sql import functions as F
+
+    from sitelens.functions import rings
+    from sitelens.operators.refinement import meeting
+
+    at = lambda half: rings.box(F.lit(1 - half), F.lit(1 - half), F.lit(1 + half), F.lit(1 + half)).alias("shape")
+    a, b = (spark.range(n).select(F.lit(1).alias("site"), F.col("id"), at(half)) for n, half in ((20, 0.001), (3, 0.1)))
+    found = meeting(a, b, ["site"])
+    assert found.count() == 60
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
